@@ -75,7 +75,7 @@ def _(spark, sf):
 
 @query("clean_general_pages", f"SELECT page_id, {v.sql_clean('html')} AS clean_html FROM pages")
 def _(spark, sf):
-    return v.table(spark, sf, "pages").select("page_id", tx.clean_general("html").alias("clean_html"))
+    return v.text_table(spark, sf, "pages").select("page_id", tx.clean_general("html").alias("clean_html"))
 
 
 @query("clean_simple", f"{W} SELECT comment_id, {SIMPLE} AS comment_clean FROM reviews")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import hashing, text as tx
 from ..operators import clean
+from ..sources import readers
 
 BLANK = tx.BLANK
 WORD = tx.WORD
@@ -27,11 +28,16 @@ TOPIC_CATEGORIES = {
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return readers.read_table(spark, f"{sf}/{name}.parquet")
+
+
+def text_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose texts cost more to process than to move."""
+    return readers.spread(table(spark, sf, name))
 
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     doc = F.col("doc_id")
     return d.select(
         doc.alias("comment_id"),
