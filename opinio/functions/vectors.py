@@ -20,11 +20,9 @@ def norm(v: str | Column) -> Column:
 
 
 def l2_normalize(v: str | Column) -> Column:
-    """Unit-length vector; the zero vector stays zero."""
-    length = norm(v)
-    return F.when(
-        length > 0, F.transform(_col(v), lambda x: x.cast("double") / length)
-    ).otherwise(F.transform(_col(v), lambda x: x.cast("double")))
+    """Unit-length vector; the zero vector stays zero. The length is bound once, not once per element."""
+    lengths = F.array(F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0)))
+    return F.transform(lengths, lambda n: F.transform(_col(v), lambda x: x.cast("double") / n))[0]
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
