@@ -23,7 +23,9 @@ MAX_TOPICS = 20_000
 
 def tfidf_model(df: DataFrame, tokens: str, min_df: float = 1, max_df: float = 1.0, vocab_size: int = 1 << 18) -> PipelineModel:
     """Fitted vectoriser (``tokens`` to sparse ``features``): tf * (ln((1+n)/(1+df)) + 1), unit length."""
-    counter = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocab_size, minDF=min_df, maxDF=max_df).fit(df)
+    # For MLlib a limit of 1 or more is a number of documents; "all of them" is its own default.
+    top = {"maxDF": max_df} if max_df < 1.0 else {}
+    counter = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocab_size, minDF=min_df, **top).fit(df)
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(df))
     scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="_tf", outputCol="_w")
     return PipelineModel([counter, scale, Normalizer(p=2.0, inputCol="_w", outputCol="features")])

@@ -191,7 +191,7 @@ def _(spark, sf):
     return topics.split_large_clusters(rows, above=50, per_cluster=20).select("vec_id", "topics")
 
 
-EPS, CORE, SIZE = 1.05, 4, 5
+EPS, CORE, SIZE = 1.18, 4, 5
 
 
 @query(
