@@ -7,6 +7,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 BLANK = r"\s\p{Z}\x0B\x1C-\x1F\x85"
+# The same blanks as single characters.
+BLANK_CHARS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 WORD = r"\p{L}\p{N}_"
 LETTERS = "a-zàâçéèêëîïôûùüÿñæœ"
 
@@ -17,7 +22,7 @@ def _col(c: str | Column) -> Column:
 
 def strip(c: str | Column) -> Column:
     """Trim every kind of blank, the no-break space before French punctuation included."""
-    return F.regexp_replace(_col(c), rf"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.btrim(_col(c), F.lit(BLANK_CHARS))
 
 
 def squeeze(c: str | Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as tx
+from .rows import explode_rows, posexplode_rows
 
 
 def drop_missing_text(df: DataFrame, text: str = "commentaire") -> DataFrame:
@@ -57,7 +58,7 @@ def tokenize_filter(
     kept = tx.drop_words(F.filter(tx.letter_tokens(text), lambda t: F.length(t) >= min_length), stops)
     if lemmas is None:
         return df.withColumn(out, kept)
-    tokens = df.select(id, F.posexplode(kept).alias("_pos", "form"))
+    tokens = posexplode_rows(df, kept, "_pos", "form", id)
     named = tokens.join(lemmas.select("form", "lemma"), "form", "left").select(
         id, F.struct("_pos", F.coalesce("lemma", "form").alias("_t")).alias("_token")
     )
@@ -96,8 +97,9 @@ def detect_profile(
     """Language profile learnt from labelled texts: the ``size`` commonest words of each language with an
     integer log-weight per language. At most ``size * len(languages)`` rows."""
     counts = (
-        labelled.filter(F.col(lang).isin(list(languages)))
-        .select(F.col(lang).alias("lang"), F.explode(tx.analyzer_tokens(text)).alias("term"))
+        explode_rows(
+            labelled.filter(F.col(lang).isin(list(languages))), tx.analyzer_tokens(text), "term", F.col(lang).alias("lang")
+        )
         .groupBy("lang", "term")
         .agg(F.count("*").alias("n"))
     )
@@ -127,10 +129,12 @@ def detect_language(
     The profile has one row per word of a few hundred per language, so it is broadcast; the exploded
     words collapse to one row of sums per document before the only shuffle.
     """
-    body = tx.strip(text)
-    usable = df if min_chars is None else df.filter(F.length(body) >= min_chars)
+    tokens = tx.analyzer_tokens(text)
+    # A condition inside the generator, not a filter: a filter would be pushed below the cleaning of the
+    # text and repeat it.
+    usable = tokens if min_chars is None else F.when(F.length(tx.strip(text)) >= min_chars, tokens)
     sums = (
-        usable.select(id, F.explode(tx.analyzer_tokens(text)).alias("term"))
+        explode_rows(df, usable, "term", id)
         .join(F.broadcast(profile), "term")
         .groupBy(id)
         .agg(*[F.sum(f"w_{code}").alias(f"w_{code}") for code in languages])
@@ -150,7 +154,7 @@ def explode_sentences(
     df: DataFrame, text: str = "clean_comment", more_than: int = 3, keep: Sequence[str] = ("comment_id",)
 ) -> DataFrame:
     """One row per sentence of more than ``more_than`` words, numbered within its review from 0."""
-    rows = df.select(*keep, F.posexplode(tx.split_sentences(text)).alias("sent_no", "sentence"))
+    rows = posexplode_rows(df, tx.split_sentences(text), "sent_no", "sentence", *keep)
     return min_words_filter(rows, "sentence", more_than)
 
 

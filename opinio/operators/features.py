@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
 from . import relational
+from .rows import explode_rows
 
 
 def word_freq(df: DataFrame, tokens: Column, k: int | None = None) -> DataFrame:
     """Corpus counts of tokens, the ``k`` commonest if given."""
-    counts = df.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    counts = explode_rows(df, tokens, "term").groupBy("term").agg(F.count("*").alias("n"))
     return counts if k is None else relational.top_k(counts, "n", "term", k)
 
 
@@ -21,7 +22,7 @@ def word_freq_by_star(df: DataFrame, tokens: Column, star: str = "star", k: int
     """The ``k`` commonest words of the bad (1-2) and good (4-5) reviews, or of every star."""
     bucket = F.when(F.col(star) <= 2, "bad").when(F.col(star) >= 4, "good") if grouped else F.col(star)
     words = df.select(bucket.alias("bucket"), tokens.alias("_t")).filter(F.col("bucket").isNotNull())
-    counts = words.select("bucket", F.explode("_t").alias("term")).groupBy("bucket", "term").agg(F.count("*").alias("n"))
+    counts = explode_rows(words, "_t", "term", "bucket").groupBy("bucket", "term").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("n"), "term"))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -42,7 +43,7 @@ def ngram_star_distribution(df: DataFrame, top: DataFrame, text: str = "commenta
     """
     patterns = top.agg(F.collect_list("ngram")).scalar()
     lowered = df.select(star, F.lower(text).alias("_t"), patterns.alias("_p"))
-    hits = lowered.select(star, F.explode(F.filter("_p", lambda g: F.contains(F.col("_t"), g))).alias("ngram"))
+    hits = explode_rows(lowered, F.filter("_p", lambda g: F.contains(F.col("_t"), g)), "ngram", star)
     return hits.groupBy("ngram", star).agg(F.count("*").alias("n"))
 
 
@@ -63,7 +64,7 @@ def term_counts(df: DataFrame, id: str, tokens: Column, params: TfidfParams = Tf
     norms need no further exchange of the far larger term rows."""
     docs = df.select(id, tx.drop_words(tokens, params.stops).alias("_tokens")).repartition(id)
     terms = tx.ngrams(F.col("_tokens"), params.low, params.high)
-    return docs.select(id, F.explode(terms).alias("term")).groupBy(id, "term").agg(F.count("*").alias("tf"))
+    return explode_rows(docs, terms, "term", id).groupBy(id, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, documents: Column, params: TfidfParams = TfidfParams()) -> DataFrame:
@@ -78,9 +79,18 @@ def vocabulary(counts: DataFrame, documents: Column, params: TfidfParams = Tfidf
     return found.withColumn("idf", F.log((F.lit(1.0) + documents) / (F.lit(1.0) + F.col("df"))) + 1)
 
 
-def weigh(counts: DataFrame, vocab: DataFrame, id: str) -> DataFrame:
-    """(id, term, w): tf times idf, unit length per document. Terms outside the vocabulary are left out."""
-    raw = counts.join(vocab.select("term", "idf"), "term").select(id, "term", (F.col("tf") * F.col("idf")).alias("_w"))
+def weigh(counts: DataFrame, vocab: DataFrame, id: str, single_idf: Column | None = None) -> DataFrame:
+    """(id, term, w): tf times idf, unit length per document. Terms outside the vocabulary are left out.
+
+    ``single_idf`` says that every counted term is in the vocabulary and gives the idf of a term found in one
+    document: such terms, the bulk of an unpruned vocabulary, then need no lookup.
+    """
+    if single_idf is None:
+        found, idf = counts.join(vocab.select("term", "idf"), "term"), F.col("idf")
+    else:
+        shared = vocab.filter(F.col("df") > 1).select("term", "idf")
+        found, idf = counts.join(shared, "term", "left"), F.coalesce("idf", single_idf)
+    raw = found.select(id, "term", (F.col("tf") * idf).alias("_w"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id)))
     return raw.select(id, "term", (F.col("_w") / length).alias("w"))
 
@@ -88,8 +98,10 @@ def weigh(counts: DataFrame, vocab: DataFrame, id: str) -> DataFrame:
 def tfidf_fit(df: DataFrame, id: str, tokens: Column, params: TfidfParams = TfidfParams()) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, weights) of a corpus; ``id`` must be unique."""
     counts = term_counts(df, id, tokens, params)
-    vocab = vocabulary(counts, df.agg(F.count("*")).scalar(), params)
-    return vocab, weigh(counts, vocab, id)
+    documents = df.agg(F.count("*")).scalar()
+    vocab = vocabulary(counts, documents, params)
+    whole = params.min_df <= 1 and params.max_df >= 1.0 and params.max_features is None
+    return vocab, weigh(counts, vocab, id, F.log((F.lit(1.0) + documents) / 2) + 1 if whole else None)
 
 
 def tfidf(df: DataFrame, id: str, tokens: Column, params: TfidfParams = TfidfParams()) -> DataFrame:

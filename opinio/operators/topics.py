@@ -15,8 +15,9 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as tx, vectors as vx
-from ..session import collect_bounded
+from ..session import broadcast_if_small, collect_bounded, cut_lineage
 from . import relational, vectors
+from .rows import explode_rows
 
 MAX_TOPICS = 20_000
 
@@ -124,16 +125,17 @@ def ctfidf(
     ``max_df`` is the largest share of classes a term may occur in. N-grams stay inside one text.
     """
     rows = df.select(F.col(topic).alias("topic"), tx.drop_words(F.col(tokens), stops).alias("_t"))
-    grams = rows.select("topic", F.explode(tx.ngrams(F.col("_t"), low, high)).alias("term"))
-    counts = grams.groupBy("topic", "term").agg(F.count("*").alias("tf"))
-    per_term = counts.groupBy("term").agg(F.sum("tf").alias("f"), F.count("*").alias("classes"))
+    grams = explode_rows(rows, tx.ngrams(F.col("_t"), low, high), "term", "topic")
+    # Kept on storage: the totals per term and per class and the final weights all read these counts.
+    counts = cut_lineage(grams.groupBy("topic", "term").agg(F.count("*").alias("tf")))
+    of_term = Window.partitionBy("term")  # at most one row per class
+    kept = counts.withColumns({"f": F.sum("tf").over(of_term), "classes": F.count("*").over(of_term)})
     if max_df < 1.0:
         classes = df.agg(F.count_distinct(topic)).scalar()
-        per_term = per_term.filter(F.col("classes") <= max_df * classes)
-    kept = counts.join(per_term, "term")
-    sizes = kept.groupBy("topic").agg(F.sum("tf").alias("size"))
+        kept = kept.filter(F.col("classes") <= max_df * classes)
+    sizes = cut_lineage(kept.groupBy("topic").agg(F.sum("tf").alias("size")))
     mean_size = F.floor(sizes.agg(F.avg("size")).scalar())
-    weighed = kept.join(sizes, "topic")
+    weighed = kept.join(broadcast_if_small(sizes), "topic")
     return weighed.select(
         "topic", "term", ((F.col("tf") / F.col("size")) * F.log(F.lit(1.0) + mean_size / F.col("f"))).alias("weight")
     )
@@ -143,17 +145,16 @@ def topic_tfidf_words(
     df: DataFrame, id: str, tokens: str, topic: str = "topics", stops: Sequence[str] = (), low: int = 1, high: int = 3, n: int = 10
 ) -> DataFrame:
     """(topic, rank, word, score): per topic, TF-IDF among its own texts, weights summed, top ``n``. ``id`` is unique."""
-    texts = df.filter(F.col(topic) != -1).select(id, F.col(topic).alias("topic"), tx.drop_words(F.col(tokens), stops).alias("_t"))
-    spread = texts.repartition(id)
-    counts = (
-        spread.select(id, "topic", F.explode(tx.ngrams(F.col("_t"), low, high)).alias("term"))
-        .groupBy(id, "topic", "term")
-        .agg(F.count("*").alias("tf"))
+    texts = cut_lineage(
+        df.filter(F.col(topic) != -1).select(id, F.col(topic).alias("topic"), tx.drop_words(F.col(tokens), stops).alias("_t"))
     )
-    documents = texts.groupBy("topic").agg(F.count("*").alias("_n"))
-    found = counts.groupBy("topic", "term").agg(F.count("*").alias("df")).join(documents, "topic")
-    idf = found.select("topic", "term", (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(idf, ["topic", "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
+    documents = broadcast_if_small(cut_lineage(texts.groupBy("topic").agg(F.count("*").cast("double").alias("_n"))))
+    grams = explode_rows(texts.repartition(id), tx.ngrams(F.col("_t"), low, high), "term", id, "topic")
+    counts = grams.groupBy(id, "topic", "term").agg(F.count("*").alias("tf"))
+    # Most n-grams occur in one text only; their idf is one number per topic, so only the others are looked up.
+    shared = counts.groupBy("topic", "term").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
+    idf = F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.coalesce("df", F.lit(1)))) + 1
+    raw = counts.join(shared, ["topic", "term"], "left").join(documents, "topic").withColumn("_w", F.col("tf") * idf)
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id)))
     sums = raw.select("topic", "term", (F.col("_w") / length).alias("w")).groupBy("topic", "term").agg(
         F.round(F.sum("w"), 6).alias("weight")

@@ -10,7 +10,8 @@ from pyspark.ml.feature import HashingTF, Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import text as tx, vectors as vx
+from ..functions import vectors as vx
+from .rows import explode_rows
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -106,7 +107,7 @@ def doc_vector_mean(
     if dimensions is None:
         dimensions = word_vecs.select(F.size("vector").alias("n")).first()["n"]
     counted = (
-        df.select(id, F.explode(tokens).alias("term")).groupBy(id, "term").agg(F.count("*").cast("double").alias("_n"))
+        explode_rows(df, tokens, "term", id).groupBy(id, "term").agg(F.count("*").cast("double").alias("_n"))
     )
     known = counted.join(word_vecs.select("term", "vector"), "term")
     sums = [

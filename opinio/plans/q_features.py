@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, text as tx, vectors as vx
 from ..operators import features, vectors
 from ..operators.features import TfidfParams
+from ..operators.rows import explode_rows
 from . import views as v
 from .q_clean import SQL_LETTERS
 from .q_profile import CLEANED
@@ -169,7 +170,7 @@ VOCAB_SQL = f"""tw_tok AS (SELECT comment_id, unnest({v.sql_tokens('commentaire'
 
 
 def word_vecs(spark, sf):
-    words = v.reviews(spark, sf).select(F.explode(tx.analyzer_tokens("commentaire")).alias("term"))
+    words = explode_rows(v.reviews(spark, sf), tx.analyzer_tokens("commentaire"), "term")
     words = words.filter(F.length("term") <= 3).distinct()
     vecs = v.embeddings(spark, sf)
     slot = hashing.hash_number("term") % vecs.agg(F.count("*")).scalar()

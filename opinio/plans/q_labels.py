@@ -365,9 +365,9 @@ def _(spark, sf):
 
 
 def labelled_tokens(spark, sf):
-    texts = v.text_table(spark, sf, "documents").select(F.col("doc_id").alias("comment_id"), tx.analyzer_tokens("text").alias("tokens"))
-    known = v.table(spark, sf, "labels").select(F.col("doc_id").alias("comment_id"), *v.SCORE_LABELS)
-    return texts.join(known, "comment_id")
+    known = v.table(spark, sf, "labels").select("doc_id", *v.SCORE_LABELS)
+    texts = v.text_table(spark, sf, "documents").select("doc_id", "text").join(known, "doc_id")
+    return texts.select(F.col("doc_id").alias("comment_id"), tx.analyzer_tokens("text").alias("tokens"), *v.SCORE_LABELS)
 
 
 def _truth(spark, sf):
@@ -456,7 +456,7 @@ def _(spark, sf):
         return vectoriser.transform(train), vectoriser.transform(valid)
 
     return classify.grid_search(
-        rows, v.SCORE_LABELS, lambda t, c, **p: classify.logreg_ovr(t, c, max_iter=10, **p), {"c": [0.1, 1.0]}, "comment_id", k=2, prepare=prepare
+        rows, v.SCORE_LABELS, lambda train, names, **params: classify.logreg_ovr(train, names, max_iter=10, **params), {"c": [0.1, 1.0]}, "comment_id", k=2, prepare=prepare
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import density, quality, topics, vectors
+from ..operators.rows import explode_rows
 from . import views as v
 from .q_features import VOCAB_SQL, sql_ngrams, word_vecs
 from .q_profile import TOPIC_WORDS
@@ -16,9 +17,7 @@ W = "WITH " + v.REVIEWS
 
 def phrase_topic_words(spark, sf, n):
     """(topic, rank, word, score): commonest words of each phrase topic."""
-    rows = v.phrase_topics(spark, sf).select(
-        F.col("topics").alias("topic"), F.explode(_phrase_tokens("sentence")).alias("term")
-    )
+    rows = explode_rows(v.phrase_topics(spark, sf), _phrase_tokens("sentence"), "term", F.col("topics").alias("topic"))
     counts = rows.groupBy("topic", "term").agg(F.count("*").cast("double").alias("weight"))
     return topics.topic_top_words(counts, n).select("topic", "rank", F.col("term").alias("word"), F.col("weight").alias("score"))
 
@@ -172,7 +171,7 @@ def _(spark, sf):
 def _(spark, sf):
     emb = v.embeddings(spark, sf)
     docs = v.reviews(spark, sf).join(emb, F.col("comment_id") == F.col("vec_id"))
-    words = docs.select(F.col("label").alias("topic"), F.explode(_phrase_tokens("commentaire")).alias("term"))
+    words = explode_rows(docs, _phrase_tokens("commentaire"), "term", F.col("label").alias("topic"))
     weights = words.groupBy("topic", "term").agg(F.count("*").alias("weight"))
     top = topics.topic_top_words(weights, 10).withColumnRenamed("term", "word")
     info = topics.topic_info(emb, top, "vec_id", "label")
@@ -305,9 +304,8 @@ SHORT = f"""{W}, {VOCAB_SQL}, sw AS (SELECT CAST(comment_id % 5 AS INT) AS topic
 
 
 def _short_topic_words(spark, sf):
-    rows = v.reviews(spark, sf).select(
-        (F.col("comment_id") % 5).cast("int").alias("topic"), F.explode(tx.analyzer_tokens("commentaire")).alias("term")
-    )
+    group = (F.col("comment_id") % 5).cast("int").alias("topic")
+    rows = explode_rows(v.reviews(spark, sf), tx.analyzer_tokens("commentaire"), "term", group)
     counts = rows.filter(F.length("term") <= 3).groupBy("topic", "term").agg(F.count("*").alias("weight"))
     return topics.topic_top_words(counts, 10).withColumnRenamed("term", "word")
 

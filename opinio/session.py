@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def get_session(app: str = "opinio", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,6 +41,11 @@ def count_up_to(df: DataFrame, limit: int) -> int:
     return df.limit(limit + 1).count()
 
 
+def broadcast_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """Broadcast hint for a side of at most ``limit`` narrow rows; a larger one keeps Spark's shuffle join."""
+    return F.broadcast(df) if count_up_to(df, limit) <= limit else df
+
+
 def collect_bounded(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a table that must be model-sized; refuses, rather than truncates, beyond ``limit``."""
     rows = df.limit(limit + 1).collect()
