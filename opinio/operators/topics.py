@@ -225,7 +225,7 @@ def topic_info(
     docs: DataFrame, topic_words: DataFrame, id: str, topic: str = "topics", vector: str = "embedding", words: int = 10, examples: int = 3
 ) -> DataFrame:
     """topic, size, top words and the ids of the texts closest to the topic vector."""
-    centres = topic_vectors(docs, topic, vector)
+    centres = broadcast_if_small(cut_lineage(topic_vectors(docs, topic, vector)), MAX_TOPICS)
     rows = docs.select(id, F.col(topic).alias("topic"), vector).join(centres, "topic")
     rows = rows.select("topic", id, F.round(vx.cosine(vector, "vector"), 9).alias("_s"))
     rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("_s"), id))

@@ -521,6 +521,17 @@ def _(spark, sf):
     return readers.read_reviews(spark, path).select(F.col("Commentaire").alias("commentaire"), "star", "client", "company")
 
 
+@query("read_gold", f"""{FLAGGED} SELECT comment_id, clean_comment, {", ".join(f"{r} AS \"{c}\"" for r, c in zip(RULES, fv.LABELS))} FROM nb""")
+def _(spark, sf):
+    path = scratch(spark, "gold")
+    rows = flagged(spark, sf)
+    text = [F.lit(None).cast("string").alias(c) for c in ("date", "client", "reponse", "source", "company", "ville", "maj", "date_commande")]
+    marks = [F.col(r).alias(c) for r, c in zip(RULES, fv.LABELS)]
+    gold = rows.select("comment_id", F.col("commentaire").alias("Commentaire"), "star", *text, F.lit(None).cast("double").alias("ecart"), "clean_comment", *marks)
+    writers.export_csv(gold, path, sep=";")
+    return readers.read_gold(spark, path, fv.LABELS).select("comment_id", "clean_comment", *fv.LABELS)
+
+
 @query("export_csv", f"{FLAGGED} SELECT comment_id, {', '.join(RULES)} FROM nb WHERE k > 0")
 def _(spark, sf):
     path = scratch(spark, "export")
