@@ -96,8 +96,9 @@ def _texts(seed, n):
     return texts
 
 
-@pytest.mark.parametrize("k", [3, 10])
-def test_knn_like_brute_force_with_copies(spark, k):
+@pytest.mark.parametrize("k, hot", [(3, 100_000), (10, 5)])
+def test_knn_like_brute_force_with_copies(spark, monkeypatch, k, hot):
+    monkeypatch.setattr(knn, "HOT_ROWS", hot)
     texts = _texts(k, 90)
     train, test = {i: texts[i] for i in range(60)}, {i: texts[i] for i in range(60, 90)}
     frame = lambda d: spark.createDataFrame(list(d.items()), "comment_id long, tokens array<string>")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from opinio.functions import dates, fixed_values as fv, text as tx
 from opinio.operators import clean, labels
 
-NBSP = " "
+NBSP = "\u00a0"
 SAMPLES = [
     "",
     "   ",
