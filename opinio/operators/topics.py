@@ -125,13 +125,19 @@ def ctfidf(
     ``max_df`` is the largest share of classes a term may occur in. N-grams stay inside one text.
     """
     rows = df.select(F.col(topic).alias("topic"), tx.drop_words(F.col(tokens), stops).alias("_t"))
-    grams = explode_rows(rows, tx.ngrams(F.col("_t"), low, high), "term", "topic")
+    # The empty term stands for the text itself: it counts the classes in the same pass.
+    terms = F.concat(F.array(F.lit("")), tx.ngrams(F.col("_t"), low, high))
+    grams = explode_rows(rows, terms, "term", "topic")
     # Kept on storage: the totals per term and per class and the final weights all read these counts.
-    counts = cut_lineage(grams.groupBy("topic", "term").agg(F.count("*").alias("tf")))
-    of_term = Window.partitionBy("term")  # at most one row per class
-    kept = counts.withColumns({"f": F.sum("tf").over(of_term), "classes": F.count("*").over(of_term)})
+    stored = cut_lineage(grams.groupBy("topic", "term").agg(F.count("*").alias("tf")))
+    counts = stored.filter(F.col("term") != "")
+    # A term of one class has its class count as total; only terms of several classes are looked up.
+    shared = counts.groupBy("term").agg(F.sum("tf").alias("f"), F.count("*").alias("classes")).filter(F.col("classes") > 1)
+    kept = counts.join(cut_lineage(shared), "term", "left").withColumns(
+        {"f": F.coalesce("f", "tf"), "classes": F.coalesce("classes", F.lit(1))}
+    )
     if max_df < 1.0:
-        classes = df.agg(F.count_distinct(topic)).scalar()
+        classes = stored.filter(F.col("term") == "").agg(F.count("*")).scalar()
         kept = kept.filter(F.col("classes") <= max_df * classes)
     sizes = cut_lineage(kept.groupBy("topic").agg(F.sum("tf").alias("size")))
     mean_size = F.floor(sizes.agg(F.avg("size")).scalar())
