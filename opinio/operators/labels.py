@@ -99,7 +99,7 @@ def labels_by_review(
 ) -> DataFrame:
     """One row per review: invariant columns of its first sentence, maximum of each label.
 
-    As for the reference's group-first, the first non-null value in sentence order is taken.
+    The first non-null value in sentence order is taken, as a group-first would.
     """
     first = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in invariant]
     return df.groupBy(id).agg(*first, *[F.max(F.col(f"`{c}`")).alias(c) for c in labels])

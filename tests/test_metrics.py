@@ -1,4 +1,3 @@
-import itertools
 from collections import Counter
 
 import numpy as np
