@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,20 +23,39 @@ def get_session(app: str = "opinio", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder, so a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only when none is
-    configured (single-machine tests).
+    Only a local master, where one machine does everything, may go without; a temporary folder is set then.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="opinio-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="opinio-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the cluster's shared folder, so a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once as a compressed table in the shared folder, and read back.
+
+    Like a checkpoint it cuts the lineage and survives lost executors; unlike one it is columnar, so later
+    readers take only the columns they need and Spark knows its size when it picks a join.
+    """
+    path = f"{shared_folder(df.sparkSession)}/opinio-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def count_up_to(df: DataFrame, limit: int) -> int:
     """Row count that stops at ``limit + 1``: a size check that never scans more than it needs."""
     return df.limit(limit + 1).count()
