@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import store
 from .registry import query
-from .tables import documents, keyed
+from .tables import documents, keyed, with_rows
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -42,9 +42,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     level = (F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("_limit").over(earlier), F.lit(0.0))) / (
         F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(earlier), F.lit(0.0))
     )
-    # A source is free when the level, as if all before it were at their limit and none after, stays under its own.
-    found = weighed.withColumn("_level", level).withColumn("_free", F.when(F.col("_level") <= F.col("_at"), F.col("_level")))
-    target = F.least(F.col("_limit"), F.coalesce(F.min("_free").over(everything) * F.col("_w"), F.col("_limit")))
+    # The first source that stays under its own limit, as if all before it were at theirs and none after, sets the level.
+    found = weighed.withColumn("_level", level)
+    free = F.when(F.col("_level") <= F.col("_at"), F.struct("_at", F.col("source").isNull().alias("_n"), "source", "_level"))
+    target = F.least(F.col("_limit"), F.coalesce(F.min(free).over(everything)["_level"] * F.col("_w"), F.col("_limit")))
     return found.select("source", "source_size", target.alias("target"))
 
 
@@ -56,7 +57,7 @@ def mix_documents(
     level_bits: int = LEVEL_BITS,
     levels: int = LEVELS,
 ) -> DataFrame:
-    """(rid, doc_id, size, source_size, target, taken): how many words of each row the mix takes.
+    """(rid, doc_id, size, source_size, target, taken, times): how many words of each row the mix takes, and how often.
 
     A size is the number of words, 0 for a null or blank text. A source whose target is t times its size takes
     each document floor(t) times, and once more those whose hash lies below the source's threshold; the
@@ -103,12 +104,21 @@ def mix_documents(
     nearer = (F.col("upto") - F.col("budget")) < (F.col("budget") - F.col("below"))
     threshold = F.when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix"))
     cut = state.select(F.col("source").alias("_s"), "source_size", "target", "copies", threshold.alias("threshold"))
-    taken = F.col("size") * (F.col("copies") + (F.col("hash") < F.col("threshold")).cast("bigint"))
+    times = F.col("copies") + (F.col("hash") < F.col("threshold")).cast("bigint")
     return rows.join(cut, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "rid", "doc_id", "size", "source_size", "target", taken.alias("taken")
+        "rid", "doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.cast("int").alias("times")
     )
 
 
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """``docs``, read from files, each row as many times as the mix takes it; all columns stay."""
+    columns = docs.columns
+    times = mix_documents(docs).select("rid", F.array_repeat(F.lit(True), F.col("times")).alias("times")).filter(F.size("times") > 0)
+    name = "_taken" + "_" * max((len(c) for c in columns), default=0)
+    repeated = with_rows(docs, times.withColumnRenamed("times", name)).withColumn(name, F.explode(name))
+    return repeated.drop(name)
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -125,9 +135,11 @@ WITH d AS (
             / (sum(w) OVER ()
              - coalesce(sum(w) OVER (ORDER BY lim / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lev
   FROM w
+), f AS (
+  SELECT min_by(lev, rn) AS lev
+  FROM (SELECT lev, row_number() OVER (ORDER BY lim / w, source NULLS LAST) AS rn, lev <= lim / w AS free FROM l) WHERE free
 ), t AS (
-  SELECT source, source_size,
-         least(lim, coalesce(min(CASE WHEN lev <= lim / w THEN lev END) OVER () * w, lim)) AS target FROM l
+  SELECT source, source_size, least(lim, coalesce(f.lev * w, lim)) AS target FROM l LEFT JOIN f ON true
 ), b AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM t
 ), h AS (
@@ -151,4 +163,4 @@ FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
 
 @query("op9_hash_thresholds", ORACLE)
 def op9_hash_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_documents(documents(spark, sf_dir)).drop("rid")
+    return mix_documents(documents(spark, sf_dir)).drop("rid", "times")
