@@ -8,20 +8,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinio.llm import exact_dedup
+from opinio.llm import exact_dedup, mixing, near_dedup, packing, quality
 from opinio.session import store
 
 
+def drop_poor_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, the one with the largest id."""
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one with the smallest id."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks for: not at all, once or twice."""
+    return mixing.mixed_rows(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, one row each."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("quality classifier", drop_poor_texts),
     ("exact dedup", drop_exact_copies),
+    ("minhash near-dedup", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("packing", pack_sequences),
 ]
 
-# Token ids cannot be expressed in SQL; tests compare the stages with brute force.
+# A trained network, hashed darts and token ids cannot be expressed in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

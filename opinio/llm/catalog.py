@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, sharding, token_output  # noqa: F401
+from . import embedding_dedup, exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, sharding, token_output  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

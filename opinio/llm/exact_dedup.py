@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import store
 from .registry import query
-from .tables import documents, keyed, numbered
+from .tables import documents, keyed, numbered, with_rows
 
 BLOCK_BYTES = 4096
 
@@ -138,9 +138,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def drop_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs``, read from files, without the rows that ``exact_dedup`` drops; all columns stay."""
-    kept = _decided(docs, block_bytes).filter("kept").select(F.col("rid").alias("_rid"))
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    return rows.join(kept, "_rid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_rows(docs, _decided(docs, block_bytes).filter("kept").select("rid"), "left_semi")
 
 
 @query(

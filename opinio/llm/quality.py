@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import store
 from .registry import query
-from .tables import documents, keyed
+from .tables import documents, keyed, with_rows
 
 BUCKETS = 1 << 13  # words are hashed to so many vectors: the model has one size for any corpus
 DIMENSIONS = 32
@@ -225,9 +225,7 @@ def score_quality(
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """``docs``, read from files, without the rows that score below ``threshold``; all columns stay."""
-    good = _scored(docs, labels, label, sample).filter(F.col("score") >= threshold).select(F.col("rid").alias("_rid"))
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    return rows.join(good, "_rid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_rows(docs, _scored(docs, labels, label, sample).filter(F.col("score") >= threshold).select("rid"), "left_semi")
 
 
 @query("op7_random_indexing")

@@ -23,6 +23,18 @@ def keyed(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("rid"), *columns)
 
 
+def with_rows(docs: DataFrame, decided: DataFrame, how: str = "inner") -> DataFrame:
+    """``docs``, read from files, joined with ``decided`` on the row numbers ``rid`` that ``keyed`` gave the same files.
+
+    The columns of ``docs`` come first; whatever they are called, they do not clash with the key.
+    """
+    key = "_rid"
+    while key.lower() in (c.lower() for c in [*docs.columns, *decided.columns]):
+        key += "_"
+    rows = docs.withColumn(key, F.monotonically_increasing_id())
+    return rows.join(decided.withColumnRenamed("rid", key), key, how).drop(key)
+
+
 def numbered(df: DataFrame, key: Column, order: list[str], name: str) -> DataFrame:
     """Distinct rows of ``df`` with an integer ``name``, equal for equal rows only.
 
