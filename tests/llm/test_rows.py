@@ -150,7 +150,7 @@ def test_planes_round_trip(plane):
         assert (token_output.from_planes(b"".join(planes), [len(p) for p in planes], len(ids), width, plane) == ids).all()
 
 
-@pytest.mark.parametrize("plane, block", [("byte", 16), ("bit", 1 << 18)])
+@pytest.mark.parametrize("plane, block", [("byte", 2000), ("bit", 1 << 18)])
 def test_token_files_round_trip(spark, edges, tmp_path, plane, block):
     token_output.write_token_planes(edges, str(tmp_path / "t"), BYTE, block_ids=block, plane=plane)
     got = token_output.read_token_planes(spark, str(tmp_path / "t")).orderBy("start").collect()
