@@ -90,7 +90,7 @@ def write_token_planes(
     each row has one id at least; null doc_ids come first; rows with equal ids follow each other by text. An empty
     table gives empty tables. Tasks hold one block and one document at a time.
     """
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInPandas(_encode(tokenizer, end_id, block_ids, plane), _BLOCK).write.option("compression", "none").parquet(f"{folder}/blocks")
     spark = docs.sparkSession
     index = spark.read.schema(_BLOCK).parquet(f"{folder}/blocks").drop("planes", "docs")

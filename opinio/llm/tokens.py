@@ -11,7 +11,8 @@ import functools
 import re
 import struct
 
-CACHED_PIECES = 300_000
+CACHED_PIECES = 500_000
+_MARKS = ".,;:!?"  # after a letter, such a mark starts a piece of its own in either kind of tokenizer
 _PLAIN = re.compile(r"\n?\S+")
 
 
@@ -53,12 +54,18 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.width = self.tokenizer.get_vocab_size()
         self.leading = spaces == "leading"
-        self.pieces = _Pieces(self._spaced if self.leading else self._whole)
+        self.pieces = _Pieces(self._spaced if self.leading else self._dropped)
+        self.marks = {m: self._whole(m) for m in _MARKS}
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _dropped(self, piece: str) -> bytes:
+        if piece[-1:] in self.marks and piece[-2:-1].isalpha():
+            return self.pieces[piece[:-1]] + self.marks[piece[-1]]
+        return self._whole(piece)
+
     def _spaced(self, piece: str) -> bytes:
         if piece.startswith("\n\n"):  # the first piece of a text
             if not _PLAIN.fullmatch(piece, 2):
@@ -66,6 +73,8 @@ class Encoder:
             return self._whole(piece[2:])
         if not _PLAIN.fullmatch(piece):
             raise _Odd
+        if piece[-1] in self.marks and piece[-2:-1].isalpha():
+            return self.pieces[piece[:-1]] + self.marks[piece[-1]]
         return self._whole(piece if piece[0] == "\n" else " " + piece)
 
     def encode(self, text: str | None) -> bytes:
