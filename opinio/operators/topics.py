@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans, LDAModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, NGram, Normalizer, SQLTransformer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window, functions as F
@@ -22,19 +23,48 @@ from .rows import explode_rows
 MAX_TOPICS = 20_000
 
 
-def tfidf_model(df: DataFrame, tokens: str, min_df: float = 1, max_df: float = 1.0, vocab_size: int = 1 << 18) -> PipelineModel:
-    """Fitted vectoriser (``tokens`` to sparse ``features``): tf * (ln((1+n)/(1+df)) + 1), unit length."""
+def _terms(tokens: str, low: int, high: int, stops: Sequence[str]) -> tuple[list[Transformer], str]:
+    """Stages from tokens to the terms to be counted, and their column."""
+    stages, source = [], tokens
+    if stops:
+        stages.append(StopWordsRemover(inputCol=tokens, outputCol="_kept", stopWords=list(stops), caseSensitive=True))
+        source = "_kept"
+    if (low, high) == (1, 1):
+        return stages, source
+    grams = [f"_g{n}" for n in range(low, high + 1)]
+    stages += [NGram(n=n, inputCol=source, outputCol=f"_g{n}") for n in range(low, high + 1)]
+    stages.append(SQLTransformer(statement=f"SELECT *, concat({', '.join(grams)}) AS _terms FROM __THIS__"))
+    return stages, "_terms"
+
+
+def tfidf_model(
+    df: DataFrame, tokens: str, min_df: float = 1, max_df: float = 1.0, low: int = 1, high: int = 1, stops: Sequence[str] = ()
+) -> PipelineModel:
+    """Fitted vectoriser (``tokens`` to sparse ``features``): tf * (ln((1+n)/(1+df)) + 1), unit length.
+
+    Terms are the n-grams of ``low`` to ``high`` tokens that are left without ``stops``. Every term within the document
+    frequencies is kept: the vocabulary's size is counted first, not limited.
+    """
+    before, terms = _terms(tokens, low, high, stops)
+    counted = PipelineModel(before).transform(df)
     # For MLlib a limit of 1 or more is a number of documents; "all of them" is its own default.
     top = {"maxDF": max_df} if max_df < 1.0 else {}
-    counter = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocab_size, minDF=min_df, **top).fit(df)
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(df))
+    size = max(1, counted.select(F.explode(terms).alias("t")).agg(F.countDistinct("t")).first()[0])
+    counter = CountVectorizer(inputCol=terms, outputCol="_tf", vocabSize=size, minDF=min_df, **top).fit(counted)
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(counted))
     scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="_tf", outputCol="_w")
-    return PipelineModel([counter, scale, Normalizer(p=2.0, inputCol="_w", outputCol="features")])
+    return PipelineModel([*before, counter, scale, Normalizer(p=2.0, inputCol="_w", outputCol="features")])
+
+
+def vocabulary_of(vectoriser: PipelineModel) -> list[str]:
+    """Terms of a fitted vectoriser, by index."""
+    return next(s.vocabulary for s in vectoriser.stages if isinstance(s, CountVectorizerModel))
 
 
-def lda_fit(df: DataFrame, k: int = 20, seed: int = 42, max_iter: int = 10, features: str = "features") -> LDAModel:
-    """Online LDA on weighted terms."""
-    return LDA(k=k, optimizer="online", seed=seed, maxIter=max_iter, featuresCol=features).fit(df)
+def lda_fit(df: DataFrame, k: int = 20, seed: int = 42, passes: int = 10, batch_share: float = 0.2, features: str = "features") -> LDAModel:
+    """Online LDA on weighted terms: ``passes`` over all texts, in mini-batches of ``batch_share`` of them."""
+    steps = math.ceil(passes / batch_share)
+    return LDA(k=k, optimizer="online", seed=seed, maxIter=steps, subsamplingRate=batch_share, featuresCol=features).fit(df)
 
 
 def lda_topic_words(model: LDAModel, vocabulary: Sequence[str], n: int = 20) -> DataFrame:
@@ -42,13 +72,8 @@ def lda_topic_words(model: LDAModel, vocabulary: Sequence[str], n: int = 20) ->
     spread = model.describeTopics(n).select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "e")
     )
-    names = F.array(*[F.lit(w) for w in vocabulary]) if len(vocabulary) <= 2000 else None
-    if names is None:
-        spark = spread.sparkSession
-        table = spark.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
-        joined = spread.join(table, F.col("e.termIndices") == F.col("i"))
-    else:
-        joined = spread.withColumn("term", F.element_at(names, F.col("e.termIndices") + 1))
+    table = spread.sparkSession.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
+    joined = spread.join(table, F.col("e.termIndices") == F.col("i"))
     return joined.select("topic", (F.col("pos") + 1).alias("rank"), "term", F.col("e.termWeights").alias("weight"))
 
 
@@ -82,8 +107,13 @@ def topic_share(df: DataFrame, topic: str = "topics") -> DataFrame:
 def cluster_embeddings(
     df: DataFrame, ks: Sequence[int], vector: str = "embedding", seed: int = 42, bisecting: bool = False, out: str = "topics"
 ) -> DataFrame:
-    """Hard clusters of vectors by cosine; of several ``ks`` the one with the best silhouette."""
-    rows = df.withColumn("_vec", array_to_vector(vx.l2_normalize(vector)))
+    """Hard clusters of vectors by cosine; of several ``ks`` the one with the best silhouette.
+
+    Null and zero vectors have no direction: they are set aside as topic -1.
+    """
+    apart = F.coalesce(vx.norm(vector), F.lit(0.0)) == 0
+    aside = df.filter(apart).withColumn(out, F.lit(-1))
+    rows = df.filter(~apart).withColumn("_vec", array_to_vector(vx.l2_normalize(vector)))
     make = BisectingKMeans if bisecting else KMeans
     evaluator = ClusteringEvaluator(featuresCol="_vec", predictionCol="_p", distanceMeasure="cosine")
     best, best_score = None, -2.0
@@ -92,7 +122,7 @@ def cluster_embeddings(
         score = evaluator.evaluate(fitted.transform(rows)) if len(ks) > 1 else 0.0
         if score > best_score:
             best, best_score = fitted, score
-    return best.transform(rows).withColumn(out, F.col("_p").cast("int")).drop("_p", "_vec")
+    return best.transform(rows).withColumn(out, F.col("_p").cast("int")).drop("_p", "_vec").unionByName(aside)
 
 
 def split_large_clusters(
@@ -216,7 +246,8 @@ def topic_nearest_words(word_vecs: DataFrame, centres: DataFrame, n: int = 50) -
         for pdf in batches:
             if not len(pdf):
                 continue
-            sims = matrix @ _unit_rows(pdf["vector"]).T
+            # Rounded before the cut: words that count as equal are all kept, whatever batch they are in.
+            sims = np.round(matrix @ _unit_rows(pdf["vector"]).T, 6)
             terms = pdf["term"].to_numpy()
             for t, row in zip(ids, sims):
                 floor = np.partition(row, -n)[-n] if len(row) > n else -np.inf
@@ -247,39 +278,17 @@ def topic_info(
 
 
 def topic_similarity(centres: DataFrame) -> DataFrame:
-    """(topic_a, topic_b, cosine), a before b: topics squared over two rows, refused beyond the topic limit."""
+    """(topic_a, topic_b, cosine), a before b: each task compares its own topics with the shared matrix of all."""
     ids, matrix = _unit_matrix(centres)
-    sims = matrix @ matrix.T
-    a, b = np.triu_indices(len(ids), 1)
     names = np.array(ids)
-    pdf = pd.DataFrame({"topic_a": names[a], "topic_b": names[b], "cosine": np.round(sims[a, b], 6)})
-    return centres.sparkSession.createDataFrame(pdf, "topic_a int, topic_b int, cosine double")
-
 
-def topic_hierarchy(similarity: DataFrame) -> DataFrame:
-    """(step, left, right, distance, size): average-linkage merge order of the topics.
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for topic, row in zip(pdf["topic"], _unit_rows(pdf["vector"]) if len(pdf) else []):
+                later = names > topic
+                yield pd.DataFrame({"topic_a": topic, "topic_b": names[later], "cosine": np.round(matrix[later] @ row, 6)})
 
-    New groups are numbered after the largest topic id. Works on the topic-by-topic table alone.
-    """
-    rows = collect_bounded(similarity, MAX_TOPICS * 100, "topic similarities")
-    size, dist = {}, {}
-    for r in rows:
-        size[r["topic_a"]] = size[r["topic_b"]] = 1
-        dist[(r["topic_a"], r["topic_b"])] = 1.0 - r["cosine"]
-    merges, new = [], max(size, default=-1)
-    while dist:
-        (a, b), d = min(dist.items(), key=lambda e: (round(e[1], 9), e[0]))
-        new += 1
-        merges.append((len(merges) + 1, a, b, round(d, 6), size[a] + size[b]))
-        others = [x for x in size if x not in (a, b)]
-        fresh = {
-            (x, new): (size[a] * dist[min(a, x), max(a, x)] + size[b] * dist[min(b, x), max(b, x)]) / (size[a] + size[b])
-            for x in others
-        }
-        dist = {k: d0 for k, d0 in dist.items() if a not in k and b not in k} | fresh
-        size[new] = size.pop(a) + size.pop(b)
-    schema = "step int, left int, right int, distance double, size int"
-    return similarity.sparkSession.createDataFrame(merges, schema)
+    return centres.select("topic", "vector").mapInPandas(compare, "topic_a int, topic_b int, cosine double")
 
 
 def topic_word_barchart_data(weights: DataFrame, docs: DataFrame, topic: str = "topics", topics: int = 10, words: int = 5) -> DataFrame:

@@ -76,9 +76,11 @@ def hashed_vectors(df: DataFrame, tokens: Column, id: str = "comment_id", dimens
 
 
 def word2vec_train(
-    df: DataFrame, tokens: str, dimensions: int = 300, min_count: int = 5, window: int = 5, seed: int = 42, partitions: int = 1
+    df: DataFrame, tokens: str, dimensions: int = 300, min_count: int = 5, window: int = 5, seed: int = 42, partitions: int | None = None
 ) -> Word2VecModel:
-    """Skip-gram vectors. More partitions train faster on a cluster and average more per iteration."""
+    """Skip-gram vectors. Each partition of the input trains on its own texts and the results are averaged;
+    ``partitions`` sets another number than the input has, 1 for one undivided training."""
+    partitions = partitions or max(1, df.rdd.getNumPartitions())
     model = Word2Vec(
         vectorSize=dimensions, minCount=min_count, windowSize=window, seed=seed, numPartitions=partitions,
         inputCol=tokens, outputCol="_w2v",

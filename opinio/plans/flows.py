@@ -53,12 +53,11 @@ def train_and_tune(
     tokens: str = "tokens",
     id: str = "comment_id",
     min_df: float = 2,
-    vocab_size: int = 1 << 18,
 ) -> tuple[classify.MultiLabelModel, DataFrame]:
     """(model with thresholds tuned on the validation rows, long predictions of the untouched test rows)."""
     split = splits.train_val_test_split(rows, id).cache()
     train = split.filter("split = 'train'")
-    vectoriser = topics.tfidf_model(train, tokens, min_df=min_df, vocab_size=vocab_size)
+    vectoriser = topics.tfidf_model(train, tokens, min_df=min_df)
     fitted = fit(vectoriser.transform(train).cache(), names)
     valid = classify.classifier_scores(fitted, vectoriser.transform(split.filter("split = 'val'")), id, names)
     tuned = {r["label"]: r["threshold"] for r in metrics.best_threshold(valid).collect()}

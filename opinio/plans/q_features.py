@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import hashing, text as tx
+from ..functions import hashing, text as tx, vectors as vx
 from ..operators import features, vectors
 from ..operators.features import TfidfParams
 from ..operators.rows import explode_rows
@@ -194,7 +194,12 @@ def _(spark, sf):
 
 @query("pretrained_vectors", f"{W}, {VOCAB_SQL.replace('<= 3)', '<= 3 AND term NOT IN (' + v.lit(v.STOPS) + '))')}, {MEAN_SQL}")
 def _(spark, sf):
-    known = word_vecs(spark, sf).filter(~F.col("term").isin(v.STOPS))
+    from .q_labels import scratch
+
+    path = scratch(spark, "word-lines")
+    lines = word_vecs(spark, sf).filter(~F.col("term").isin(v.STOPS))
+    lines.select(F.concat_ws(" ", "term", F.transform("vector", lambda x: x.cast("double").cast("string")))).write.text(path)
+    known = vectors.pretrained_vectors(spark, path)
     return _long(vectors.doc_vector_mean(tokens(spark, sf), known, F.col("t"), dimensions=64), "comment_id")
 
 
@@ -210,19 +215,32 @@ def _(spark, sf):
     return vectors.cosine_pairs(word_vecs(spark, sf), PAIR_WORDS)
 
 
-@query("embed_texts")
+def _shape(df, id):
+    """Dimensions and length of each vector: what any engine can tell of an encoder's result."""
+    return df.select(id, F.size("embedding").alias("dims"), F.round(vx.norm("embedding"), 5).alias("norm"))
+
+
+@query(
+    "embed_texts",
+    f"""WITH {v.REVIEWS} SELECT comment_id, CAST(64 AS INT) AS dims,
+    CASE WHEN regexp_matches({v.sql_clean('commentaire')}, '[{v.WORD}]{{2}}') THEN 1.0::DOUBLE ELSE 0 END AS norm FROM reviews""",
+)
 def _(spark, sf):
     rows = v.clean_reviews(spark, sf)
-    return vectors.embed_texts(rows, lambda: vectors.hashing_encoder(64))
+    return _shape(vectors.embed_texts(rows, lambda: vectors.hashing_encoder(64)), "comment_id")
 
 
-@query("embed_sentences")
+@query(
+    "embed_sentences",
+    f"""WITH {v.SENTENCES} SELECT concat(comment_id, ':', sent_no) AS key, CAST(64 AS INT) AS dims,
+    CASE WHEN regexp_matches(sentence, '[{v.WORD}]{{2}}') THEN 1.0::DOUBLE ELSE 0 END AS norm FROM sentences""",
+)
 def _(spark, sf):
     rows = v.sentences(spark, sf).withColumn("key", F.concat_ws(":", "comment_id", "sent_no"))
-    return vectors.hashed_vectors(rows, tx.analyzer_tokens("sentence"), "key", 64)
+    return _shape(vectors.hashed_vectors(rows, tx.analyzer_tokens("sentence"), "key", 64), "key")
 
 
-@query("word2vec_train")
+@query("word2vec_train", f"WITH {v.TOKENS} SELECT term, CAST(300 AS INT) AS dims FROM (SELECT unnest(clean_tokens) AS term FROM toks) GROUP BY term HAVING count(*) >= 5")
 def _(spark, sf):
     rows = v.token_reviews(spark, sf).select("clean_tokens")
-    return vectors.word_vectors(vectors.word2vec_train(rows, "clean_tokens", 32, partitions=8))
+    return vectors.word_vectors(vectors.word2vec_train(rows, "clean_tokens")).select("term", F.size("vector").alias("dims"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import partial
 
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv, text as tx, vectors as vx
 from ..operators import classify, knn, labels, metrics, relational, scoring, splits, topics, vectors
+from ..session import shared_folder
 from ..sources import feature_store, models, readers, writers
 from ..streaming import streams
 from . import views as v
@@ -361,6 +362,20 @@ def _(spark, sf):
     return packed.select("id", F.explode("result").alias("label", "r")).select("id", "label", "r.*")
 
 
+@query(
+    "score_batch_model",
+    "SELECT doc_id AS id, l AS label, CASE l WHEN 'quality' THEN 0.21::DOUBLE ELSE 0.44::DOUBLE END AS threshold, true AS consistent "
+    "FROM labels JOIN documents USING (doc_id), (VALUES ('quality'), ('toxic')) t(l)",
+)
+def _(spark, sf):
+    vectoriser, train, _ = _prepared(spark, sf)
+    fitted = classify.MultiLabelModel(vectoriser, classify.logreg_ovr(train, v.SCORE_LABELS, max_iter=STEPS), CUTS)
+    rows = scoring.score_batch(labelled_tokens(spark, sf), fitted, "comment_id")
+    each = rows.select(F.col("comment_id").alias("id"), F.explode("result").alias("label", "r")).select("id", "label", "r.*")
+    consistent = (F.col("prediction") == (F.col("probability") > F.col("threshold")).cast("int")) & F.col("probability").between(0, 1)
+    return each.select("id", "label", "threshold", consistent.alias("consistent"))
+
+
 # --- nearest neighbours --------------------------------------------------------------------------------------------
 
 
@@ -412,30 +427,46 @@ def _(spark, sf):
 # --- classifiers --------------------------------------------------------------------------------------------------
 
 
-def _prepared(spark, sf, vocab_size=4096):
+def _test_sql(columns):
+    """Rows of the test split in long form, as every classifier query returns them."""
+    one = "SELECT doc_id AS id, '{0}' AS label, {0} AS y_true, {1} FROM labels JOIN documents USING (doc_id) WHERE " + f"{HD} % 100 < 20"
+    return " UNION ALL ".join(one.format(c, columns.format(c)) for c in v.SCORE_LABELS)
+
+
+STEPS = 50  # optimiser steps of the registered fits, each a Spark job; the operators' own defaults run to convergence
+
+
+def _prepared(spark, sf, **terms):
     rows = splits.train_test_split(labelled_tokens(spark, sf), "comment_id").cache()
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
-    vectoriser = topics.tfidf_model(train, "tokens", min_df=2, vocab_size=vocab_size)
+    vectoriser = topics.tfidf_model(train, "tokens", **({"min_df": 2} | terms))
     return vectoriser, vectoriser.transform(train).cache(), vectoriser.transform(test)
 
 
 def _reported(fitted, test):
-    return classify.classifier_scores(fitted, test, "comment_id", v.SCORE_LABELS)
+    scored = classify.classifier_scores(fitted, test, "comment_id", v.SCORE_LABELS)
+    return scored.select("id", "label", "y_true", F.col("score").between(0, 1).alias("in_range"))
 
 
-@query("logreg_ovr")
+@query("logreg_ovr", _test_sql("true AS in_range"))
 def _(spark, sf):
     _, train, test = _prepared(spark, sf)
-    return _reported(classify.logreg_ovr(train, v.SCORE_LABELS, max_iter=50), test)
+    return _reported(classify.logreg_ovr(train, v.SCORE_LABELS, max_iter=STEPS), test)
 
 
-@query("linear_svm_ovr")
+@query("linear_svm_ovr", _test_sql("true AS in_range"))
 def _(spark, sf):
     _, train, test = _prepared(spark, sf)
-    return _reported(classify.linear_svm_ovr(train, v.SCORE_LABELS, max_iter=50), test)
+    return _reported(classify.linear_svm_ovr(train, v.SCORE_LABELS, max_iter=STEPS), test)
+
+
+@query("svm_bigrams", _test_sql("true AS in_range"))
+def _(spark, sf):
+    _, train, test = _prepared(spark, sf, min_df=5, max_df=0.9, low=1, high=2, stops=v.STOPS)
+    return _reported(classify.linear_svm_ovr(train, v.SCORE_LABELS, max_iter=STEPS), test)
 
 
-@query("gbt_multi")
+@query("gbt_multi", _test_sql("true AS in_range"))
 def _(spark, sf):
     rows = vectors.hashed_vectors(labelled_tokens(spark, sf), F.col("tokens"), dimensions=32)
     from pyspark.ml.functions import array_to_vector
@@ -447,24 +478,27 @@ def _(spark, sf):
     return _reported(fitted, split.filter("split = 'test'"))
 
 
-@query("grid_search")
+GRID = {"c": [0.1, 1.0]}
+
+
+@query("grid_search", " UNION ALL ".join(f"SELECT '{{''c'': {c}}}' AS params, true AS in_range" for c in GRID["c"]))
 def _(spark, sf):
     rows = labelled_tokens(spark, sf).cache()
 
     def prepare(train, valid):
-        vectoriser = topics.tfidf_model(train, "tokens", min_df=2, vocab_size=1024)
+        vectoriser = topics.tfidf_model(train, "tokens", min_df=2)
         return vectoriser.transform(train), vectoriser.transform(valid)
 
-    return classify.grid_search(
-        rows, v.SCORE_LABELS, lambda train, names, **params: classify.logreg_ovr(train, names, max_iter=10, **params), {"c": [0.1, 1.0]}, "comment_id", k=2, prepare=prepare
-    )
+    found = classify.grid_search(rows, v.SCORE_LABELS, partial(classify.logreg_ovr, max_iter=STEPS // 5), GRID, "comment_id", k=2, prepare=prepare)
+    return found.select("params", F.col("f1_macro").between(0, 1).alias("in_range"))
 
 
-@query("classifier_scores")
+@query("classifier_scores", _test_sql("CASE '{0}' WHEN 'quality' THEN 0.21::DOUBLE ELSE 0.44::DOUBLE END AS threshold, true AS consistent"))
 def _(spark, sf):
-    _, train, test = _prepared(spark, sf, 512)
-    scored = _reported(classify.logreg_ovr(train, v.SCORE_LABELS, max_iter=20), test)
-    return metrics.apply_thresholds(scored, CUTS, strict=False)
+    _, train, test = _prepared(spark, sf)
+    scored = classify.classifier_scores(classify.logreg_ovr(train, v.SCORE_LABELS, max_iter=STEPS), test, "comment_id", v.SCORE_LABELS)
+    cut = metrics.apply_thresholds(scored, CUTS, strict=False)
+    return cut.select("id", "label", "y_true", "threshold", (F.col("prediction") == (F.col("score") >= F.col("threshold")).cast("int")).alias("consistent"))
 
 
 # --- storage and streams: written to a scratch folder of this run -------------------------------------------------
@@ -474,8 +508,7 @@ def scratch(spark, name: str) -> str:
     """A fresh folder for one run: beside the cluster's checkpoints, which every executor reaches."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/opinio-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/opinio-{name}-{uuid.uuid4().hex}"
 
 
 @query(
@@ -578,26 +611,35 @@ def _(spark, sf):
     return full.select("doc_id", F.size("embedding").alias("dims"))
 
 
-@query("save_load_model")
+def _same(expected, got):
+    """Whether two packed score tables agree, by id."""
+    cell = lambda df, name: df.select(F.col("comment_id").alias("id"), F.to_json("result").alias(name))
+    both = cell(expected, "a").join(cell(got, "b"), "id", "full")
+    return both.select("id", F.col("a").eqNullSafe(F.col("b")).alias("same"))
+
+
+@query("save_load_model", "SELECT doc_id AS id, true AS same FROM labels JOIN documents USING (doc_id)")
 def _(spark, sf):
-    vectoriser, train, _ = _prepared(spark, sf, 512)
-    fitted = classify.MultiLabelModel(vectoriser, classify.logreg_ovr(train, v.SCORE_LABELS, max_iter=10), CUTS)
+    vectoriser, train, _ = _prepared(spark, sf)
+    fitted = classify.MultiLabelModel(vectoriser, classify.logreg_ovr(train, v.SCORE_LABELS, max_iter=STEPS), CUTS)
     root = scratch(spark, "models")
     models.save_model(spark, fitted, root, "logreg", "regex")
     again = models.load_model(spark, root, "logreg", "regex")
-    return scoring.score_batch(labelled_tokens(spark, sf), again, "comment_id")
+    rows = labelled_tokens(spark, sf)
+    return _same(scoring.score_batch(rows, fitted, "comment_id"), scoring.score_batch(rows, again, "comment_id"))
 
 
-@query("score_stream")
+@query("score_stream", "SELECT doc_id AS id, true AS same FROM documents")
 def _(spark, sf):
-    vectoriser, train, _ = _prepared(spark, sf, 512)
-    fitted = classify.MultiLabelModel(vectoriser, classify.logreg_ovr(train, v.SCORE_LABELS, max_iter=10), CUTS)
+    vectoriser, train, _ = _prepared(spark, sf)
+    fitted = classify.MultiLabelModel(vectoriser, classify.logreg_ovr(train, v.SCORE_LABELS, max_iter=STEPS), CUTS)
     inbox, out, mark = (scratch(spark, n) for n in ("inbox", "scored", "progress"))
     v.reviews(spark, sf).select("comment_id", "commentaire").write.parquet(inbox)
     arriving = streams.read_reviews_stream(spark, inbox, spark.read.parquet(inbox).schema)
     scored = streams.score_stream(arriving, fitted, lambda d: d.withColumn("tokens", tx.analyzer_tokens("commentaire")))
     streams.run_available(scored, out, mark)
-    return spark.read.parquet(out)
+    batch = scoring.score_batch(spark.read.parquet(inbox).withColumn("tokens", tx.analyzer_tokens("commentaire")), fitted, "comment_id")
+    return _same(batch, spark.read.parquet(out))
 
 
 @query("label_stream", f"{CLEAN}, fl AS (SELECT comment_id, {FLAGS} FROM cl) SELECT * FROM fl")
@@ -609,11 +651,11 @@ def _(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("daily_counts_stream")
+@query("daily_counts_stream", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1")
 def _(spark, sf):
     out, mark = scratch(spark, "days"), scratch(spark, "progress")
     source = f"{sf}/events.parquet"
     schema = spark.read.parquet(source).schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    streams.run_available(streams.daily_counts_stream(arriving), out, mark)
-    return spark.read.parquet(out)
+    streams.count_days(arriving, out, mark)
+    return streams.daily_totals(spark, out)

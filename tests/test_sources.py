@@ -89,8 +89,8 @@ def test_grid_search_ranks_parameters(labelled):
 def test_topic_model_properties(labelled):
     vectoriser = topics.tfidf_model(labelled, "tokens", min_df=2)
     rows = vectoriser.transform(labelled)
-    model = topics.lda_fit(rows, k=3, max_iter=3)
-    words = topics.lda_topic_words(model, vectoriser.stages[0].vocabulary, 4)
+    model = topics.lda_fit(rows, k=3, passes=1)
+    words = topics.lda_topic_words(model, topics.vocabulary_of(vectoriser), 4)
     assert words.count() == 12 and {r["rank"] for r in words.collect()} == {1, 2, 3, 4}
     dist = topics.dominant_topic(topics.topic_distribution(model, rows, "comment_id")).collect()
     assert len(dist) == 60 and all(abs(sum(r["topic_dist"]) - 1) < 1e-6 and 0 <= r["topic_id"] < 3 for r in dist)
@@ -156,3 +156,48 @@ def test_gold_set_facts(spark):
     ).filter("ecart IS NOT NULL")
     assert both.count() == 40 and both.filter("gap <> ecart").count() == 0
     assert gold.filter(tx.clean_general("Commentaire") != F.col("clean_comment")).count() == 0
+
+
+def test_store_that_cannot_be_read_is_not_replaced(spark, tmp_path):
+    import pytest
+
+    from opinio.sources import feature_store
+
+    path = tmp_path / "vectors"
+    path.mkdir()
+    (path / "part-0.parquet").write_text("no parquet")
+    rows = spark.createDataFrame([(1, "a")], "comment_id long, text string")
+    with pytest.raises(Exception):
+        feature_store.feature_store(rows, str(path), lambda r: r.select("comment_id"))
+    assert (path / "part-0.parquet").read_text() == "no parquet"
+
+
+def test_open_days_are_counted(spark, tmp_path):
+    from opinio.streaming import streams
+
+    rows = [(f"2024-01-0{d} 10:00:00",) for d in (1, 1, 2, 3, 3, 3)]
+    spark.createDataFrame(rows, "ts string").write.parquet(str(tmp_path / "in"))
+    arriving = streams.read_reviews_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    streams.count_days(arriving, str(tmp_path / "out"), str(tmp_path / "mark"))
+    assert sorted((str(r["day"]), r["n"]) for r in streams.daily_totals(spark, str(tmp_path / "out")).collect()) == [
+        ("2024-01-01", 2), ("2024-01-02", 1), ("2024-01-03", 3)
+    ]
+
+
+def test_cluster_without_shared_folder_is_refused():
+    import pytest
+
+    from opinio.session import shared_folder
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError):
+        shared_folder(Session())

@@ -128,7 +128,33 @@ def test_split_keeps_rows_and_continues_ids(spark):
     assert len(got) == 80 and {got[i] for i in range(60, 80)} == {1} and {got[i] for i in range(60)} <= {2, 3, 4}
 
 
-def test_hierarchy_merges_the_closest_first(spark):
+def test_similarity_of_each_pair_once(spark):
     centres = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0])], "topic int, vector array<double>")
-    merges = [tuple(r)[:3] for r in topics.topic_hierarchy(topics.topic_similarity(centres)).collect()]
-    assert merges == [(1, 0, 1), (2, 2, 3)]
+    got = {(r["topic_a"], r["topic_b"]): r["cosine"] for r in topics.topic_similarity(centres.repartition(3)).collect()}
+    assert got == {(0, 1): 0.995037, (0, 2): 0.0, (1, 2): 0.099504}
+
+
+def test_nearest_words_do_not_depend_on_partitions(spark):
+    centres = spark.createDataFrame([(0, [1.0, 0.0])], "topic int, vector array<double>")
+    words = spark.createDataFrame([("z", [1.0, 0.0]), ("a", [1.0, 1e-8]), ("m", [0.5, 0.5])], "term string, vector array<double>")
+    for n in (1, 3):
+        assert [r["term"] for r in topics.topic_nearest_words(words.repartition(n), centres, 1).collect()] == ["a"]
+
+
+def test_zero_and_null_vectors_are_set_aside(spark):
+    rows = [(i, [float(i % 2), float(1 - i % 2)]) for i in range(20)] + [(20, [0.0, 0.0]), (21, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    for bisecting in (False, True):
+        got = {r["id"]: r["topics"] for r in topics.cluster_embeddings(df, [2], bisecting=bisecting).collect()}
+        assert got[20] == got[21] == -1 and len(got) == 22 and {got[i] for i in range(20)} == {0, 1}
+
+
+def test_vectoriser_keeps_every_term_and_forms_ngrams(spark):
+    rows = [(i, [f"w{i}_{j}" for j in range(50)] + ["the", "end"]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    assert len(topics.vocabulary_of(topics.tfidf_model(df, "tokens"))) == 2002
+    grams = topics.tfidf_model(df, "tokens", min_df=2, low=1, high=2, stops=["the"])
+    assert topics.vocabulary_of(grams) == ["end"]
+    both = topics.tfidf_model(df, "tokens", min_df=2, low=1, high=2)
+    assert sorted(topics.vocabulary_of(both)) == ["end", "the", "the end"]
+    assert both.transform(df).select("features").first()[0].numNonzeros() == 3
