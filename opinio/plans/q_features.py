@@ -161,16 +161,16 @@ def _(spark, sf):
     return unit.select("vec_id", F.array_join(micro, ",").alias("unit"))
 
 
-# Word vectors for the vector queries: every token of length <= 3 borrows the embedding at its hash.
+# Word vectors for the vector queries: every token borrows the embedding at its hash.
 VOCAB_SQL = f"""tw_tok AS (SELECT comment_id, unnest({v.sql_tokens('commentaire')}) AS term FROM reviews),
   nvec AS (SELECT count(*) AS n FROM embeddings),
   wv AS (SELECT term, embedding AS vector FROM (SELECT term, {v.sql_hash('term')} % n AS vec_id FROM
-     (SELECT DISTINCT term FROM tw_tok WHERE length(term) <= 3), nvec) JOIN embeddings USING (vec_id))"""
+     (SELECT DISTINCT term FROM tw_tok WHERE true), nvec) JOIN embeddings USING (vec_id))"""
 
 
 def word_vecs(spark, sf):
     words = explode_rows(v.reviews(spark, sf), tx.analyzer_tokens("commentaire"), "term")
-    words = words.filter(F.length("term") <= 3).distinct()
+    words = words.distinct()
     vecs = v.embeddings(spark, sf)
     slot = hashing.hash_number("term") % vecs.agg(F.count("*")).scalar()
     return words.withColumn("vec_id", slot).join(vecs, "vec_id").select("term", F.col("embedding").alias("vector"))
@@ -192,7 +192,7 @@ def _(spark, sf):
     return _long(vectors.doc_vector_mean(tokens(spark, sf), word_vecs(spark, sf), F.col("t"), dimensions=64), "comment_id")
 
 
-@query("pretrained_vectors", f"{W}, {VOCAB_SQL.replace('<= 3)', '<= 3 AND term NOT IN (' + v.lit(v.STOPS) + '))')}, {MEAN_SQL}")
+@query("pretrained_vectors", f"{W}, {VOCAB_SQL.replace('WHERE true', 'WHERE term NOT IN (' + v.lit(v.STOPS) + ')')}, {MEAN_SQL}")
 def _(spark, sf):
     from .q_labels import scratch
 

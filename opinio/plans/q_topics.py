@@ -308,15 +308,15 @@ def _(spark, sf):
     return quality.coherence_cv(phrase_topic_words(spark, sf, 10), docs, F.col("clean_tokens"), 10, per_topic=True)
 
 
-# Topic words with known vectors: the short words of the corpus, ranked by topic of their document.
-SHORT = f"""{W}, {VOCAB_SQL}, sw AS (SELECT CAST(comment_id % 5 AS INT) AS topic, term, count(*) AS n FROM tw_tok WHERE length(term) <= 3 GROUP BY 1, 2),
+# Topic words with known vectors: the words of the corpus, ranked by topic of their document.
+SHORT = f"""{W}, {VOCAB_SQL}, sw AS (SELECT CAST(comment_id % 5 AS INT) AS topic, term, count(*) AS n FROM tw_tok GROUP BY 1, 2),
   tw AS (SELECT topic, term AS word, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, term) AS rk FROM sw) WHERE rk <= 10)"""
 
 
-def _short_topic_words(spark, sf):
+def _corpus_topic_words(spark, sf):
     group = (F.col("comment_id") % 5).cast("int").alias("topic")
     rows = explode_rows(v.reviews(spark, sf), tx.analyzer_tokens("commentaire"), "term", group)
-    counts = rows.filter(F.length("term") <= 3).groupBy("topic", "term").agg(F.count("*").alias("weight"))
+    counts = rows.groupBy("topic", "term").agg(F.count("*").alias("weight"))
     return topics.topic_top_words(counts, 10).withColumnRenamed("term", "word")
 
 
@@ -326,7 +326,7 @@ EMB = f"""{SHORT}, pr AS (SELECT a.topic, avg(list_cosine_similarity(x.vector::D
 
 @query("coherence_embedding", f"{EMB} SELECT round(avg(s), 6) AS score FROM pr")
 def _(spark, sf):
-    return quality.coherence_embedding(_short_topic_words(spark, sf), word_vecs(spark, sf))
+    return quality.coherence_embedding(_corpus_topic_words(spark, sf), word_vecs(spark, sf))
 
 
 @query(
@@ -335,17 +335,17 @@ def _(spark, sf):
     {TOPIC_WORDS.format(tok=v.sql_letter_tokens('sentence'), n=10).replace('tw AS', 'ptw AS')}, ptws AS (SELECT * FROM ptw WHERE topic <> -1),
     {UMASS[UMASS.index('dtok AS'):].replace('tws', 'ptws')}
     SELECT 'phrases' AS model, round(count(DISTINCT word) / count(word), 6) AS diversity, (SELECT round(avg(score), 6) FROM u) AS coherence FROM ptws
-    UNION ALL SELECT 'short words', round(count(DISTINCT word) / count(word), 6), (SELECT round(avg(s), 6) FROM pr) FROM tw""",
+    UNION ALL SELECT 'corpus words', round(count(DISTINCT word) / count(word), 6), (SELECT round(avg(s), 6) FROM pr) FROM tw""",
 )
 def _(spark, sf):
-    short, phrases = _short_topic_words(spark, sf), phrase_topic_words(spark, sf, 10)
+    short, phrases = _corpus_topic_words(spark, sf), phrase_topic_words(spark, sf, 10)
     return quality.topic_model_comparison(
         {
             "phrases": (
                 quality.topic_diversity(phrases),
                 quality.coherence_umass(phrases, v.token_reviews(spark, sf), F.col("clean_tokens")),
             ),
-            "short words": (
+            "corpus words": (
                 quality.topic_diversity(short),
                 quality.coherence_embedding(short, word_vecs(spark, sf)),
             ),
