@@ -179,3 +179,10 @@ def test_line_edges(spark, edges, nothing):
     assert len(got) == len(EDGES) and sorted(r["n_removed"] for r in got if r["doc_id"] in (5, 6)) == [0, 1]
     assert {r["text"] for r in got if r["doc_id"] == 5} == {LONG}
     assert line_dedup.remove_repeated_runs(nothing).count() == 0
+
+
+def test_crowded_buckets_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CROWD", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    test_near_classes_equal_brute_force(spark)
+    test_near_with_counts(spark)
