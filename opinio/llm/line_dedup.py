@@ -82,7 +82,8 @@ def remove_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     rows = keyed(docs, "doc_id", "text")
     gone = store(removed_lines(rows, min_words).groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("gone")), "removed")
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    both = rows.join(gone, "rid", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    # A merge join at every size: the list of removals grows with the corpus and is not for broadcasting.
+    both = rows.join(gone.hint("merge"), "rid", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     # Slices between removed lines; a lookup of each line among the removed would be quadratic.
     bounds = F.concat(F.array(F.lit(-1)), "gone")
     ends = F.concat("gone", F.array(F.size("lines")))
