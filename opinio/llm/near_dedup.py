@@ -8,7 +8,8 @@ rank, about k ln k per document, are ever made.
 
 Documents that agree on all rows of a band meet in a bucket. They are compared exactly, but never all with all:
 each with the bucket's most central document first. What that leaves open is limited by the triangle inequality of
-the Jaccard distance, and only such pairs of still separate classes are compared.
+the Jaccard distance and by the number of bands that two similar documents share; only such pairs of still separate
+classes are compared.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.density import connected_components
 from ..session import store
 from .registry import query
-from .tables import documents, keyed
+from .tables import documents, keyed, with_rows
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4  # a pair at the threshold is missed with a probability of (1 - 0.8**4)**32, below 1e-7
+CROWD = 64  # documents in a bucket beyond which its pairs are compared inside tasks
+BLOCK = 1024  # documents of such a bucket that meet as many others in one task
+AGREE = 4  # bands that a pair without a leader must share; at the threshold 13 are expected, fewer than 4 come below 1e-4
 CACHED_WORDS = 300_000
 
 
@@ -143,7 +147,8 @@ def _signatures(size: int, bands: int, rows: int, counted: bool):
                 hashlib.blake2b(s.tobytes() + (c.tobytes() if counted else b""), digest_size=16).digest() if len(s) else None for s, c in sets
             ]
             lists = [b if d is not None else [] for b, d in zip(band.view(np.int64), digests)]
-            return pd.DataFrame({"rid": [k[0] for k in keys], "doc_id": pd.array([k[1] for k in keys], dtype="Int64"), "digest": digests, "bands": lists})
+            ids = pd.array([k[1] for k in keys], dtype="Int64")
+            return pd.DataFrame({"rid": [k[0] for k in keys], "doc_id": ids, "digest": digests, "bands": lists})
 
         for batch in batches:
             keys, sets, held = [], [], 0
@@ -198,12 +203,66 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInPandas(_compared, "a bigint, b bigint, similarity double")
 
 
+def _overlaps(threshold: float, reach: float):
+    """Links between the open documents and the others of a block pair: for each, one per class that it meets."""
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        others, asks = pdf[~pdf["asks"]], pdf[pdf["asks"]]
+        sets = [np.frombuffer(e, dtype=np.uint64) for e in others["elements"]]
+        counts = [np.frombuffer(c, dtype="<i4") if c else np.ones(len(e), dtype="<i4") for c, e in zip(others["counts"], sets)]
+        out = []
+        if len(others) and len(asks):
+            owner = np.repeat(np.arange(len(sets)), [len(e) for e in sets])
+            element, weight = np.concatenate(sets), np.concatenate(counts)
+            order = np.argsort(element, kind="stable")
+            element, weight, owner = element[order], weight[order], owner[order]
+            total = np.bincount(owner, weights=weight, minlength=len(sets))
+            away, node, component = others["away"].to_numpy(), others["node"].to_numpy(), others["component"].to_numpy()
+            for x in asks.itertuples(index=False):
+                may = (component != x.component) & (np.abs(away - x.away) <= reach)
+                if not may.any():
+                    continue
+                mine = np.frombuffer(x.elements, dtype=np.uint64)
+                own = np.frombuffer(x.counts, dtype="<i4") if x.counts else np.ones(len(mine), dtype="<i4")
+                lo, hi = np.searchsorted(element, mine, "left"), np.searchsorted(element, mine, "right")
+                width = hi - lo
+                at = np.repeat(lo - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
+                both = np.bincount(owner[at], weights=np.minimum(weight[at], np.repeat(own, width)), minlength=len(sets))
+                near = may & (both / (total + own.sum() - both) >= threshold)
+                for c in np.unique(component[near]):
+                    out.append((x.node, node[near & (component == c)].min()))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return find
+
+
+def _crowded(seen: DataFrame, crowd: DataFrame, sets: DataFrame, threshold: float, reach: float) -> DataFrame:
+    """(a, b): links that the documents left open by their leader have in crowded buckets.
+
+    Such a bucket may hold very many pairs just below the threshold. They are compared inside tasks, block by
+    block, and only links leave them.
+    """
+    parts = crowd.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_x") / BLOCK).cast("int").alias("turns"))
+    rows = seen.join(parts, "key").join(sets, "node")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "block", "turn", "asks", "node", "away", "component", "elements", "counts"]
+    others = rows.withColumn("block", deal("blocks")).withColumn("turn", every("turns")).withColumn("asks", F.lit(False))
+    asks = rows.filter(F.col("away") > reach).withColumn("turn", deal("turns")).withColumn("block", every("blocks")).withColumn("asks", F.lit(True))
+    meeting = others.select(columns).unionByName(asks.select(columns))
+    return meeting.groupBy("key", "block", "turn").applyInPandas(_overlaps(threshold, reach), "a bigint, b bigint")
+
+
+_SIGNED = "rid bigint, doc_id bigint, digest binary, bands array<bigint>"
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = SIMILARITY,
     size: int = SHINGLE_WORDS,
     bands: int = BANDS,
     rows: int = ROWS,
+    agree: int = AGREE,
     weights: str = "ones",
 ) -> DataFrame:
     """(rid, doc_id, class_id, class_size, kept): every row of ``docs`` with its class of near-duplicates.
@@ -216,7 +275,7 @@ def near_duplicates(
     """
     counted = weights == "counts"
     base = keyed(docs, "doc_id", "text")
-    signed = store(base.mapInPandas(_signatures(size, bands, rows, counted), "rid bigint, doc_id bigint, digest binary, bands array<bigint>"), "bands")
+    signed = store(base.mapInPandas(_signatures(size, bands, rows, counted), _SIGNED), "bands")
     nodes = store(signed.filter("digest is not null").groupBy("digest").agg(F.min("rid").alias("node")), "nodes")
     placed = (
         signed.filter("digest is not null").join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
@@ -241,13 +300,20 @@ def near_duplicates(
     seen = led.join(known.select(F.col("a").alias("node"), F.col("b").alias("leader"), "similarity"), ["node", "leader"], "left")
     seen = seen.withColumn("away", away).join(classes.select(F.col("id").alias("node"), "component"), "node")
     split = seen.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("key")
-    seen = store(seen.join(split, "key", "left_semi").select("key", "node", "away", "component"), "undecided")
+    seen = seen.join(split, "key", "left_semi").select("key", "node", "away", "component")
+    seen = store(seen.join(signed.select(F.col("rid").alias("node"), "bands"), "node"), "undecided")
     reach = 1 - threshold + 1e-9
-    x = seen.filter(F.col("away") > reach).select("key", F.col("node").alias("a"), F.col("away").alias("away_a"), F.col("component").alias("ca"))
-    y = seen.filter(F.col("away") > 0).select("key", F.col("node").alias("b"), F.col("away").alias("away_b"), F.col("component").alias("cb"))
+    crowd = seen.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("away") > reach).alias("n_x")).filter("n_x > 0")
+    crowd = store(crowd, "crowds")
+    small = seen.join(crowd.filter(F.col("n") <= CROWD).select("key"), "key", "left_semi")
+    x = small.filter(F.col("away") > reach).select("key", F.col("node").alias("a"), F.col("away").alias("away_a"), F.col("component").alias("ca"), F.col("bands").alias("bands_a"))
+    y = small.filter(F.col("away") > 0).select("key", F.col("node").alias("b"), F.col("away").alias("away_b"), F.col("component").alias("cb"), F.col("bands").alias("bands_b"))
     close = (F.col("ca") != F.col("cb")) & (F.abs(F.col("away_a") - F.col("away_b")) <= reach) & ((F.col("away_b") <= reach) | (F.col("a") < F.col("b")))
-    rest = x.join(y, (x["key"] == y["key"]) & close).select("a", "b").distinct()
+    shared = F.array_intersect("bands_a", "bands_b")
+    likely = (F.size(shared) >= agree) & (F.element_at(shared, 1) == x["key"])
+    rest = x.join(y, (x["key"] == y["key"]) & close & likely).select("a", "b").distinct()
     more = _compare(rest, sets).filter(F.col("similarity") >= threshold).select("a", "b")
+    more = more.unionByName(_crowded(seen.drop("bands"), crowd.filter(F.col("n") > CROWD), sets, threshold, reach))
     more = store(more, "more-links")
     if more.limit(1).count():
         classes = connected_components(graph, links.unionByName(more))
@@ -258,7 +324,7 @@ def near_duplicates(
         signed.select("rid", "doc_id", "digest").join(of_node, "digest", "left").select("rid", "doc_id", F.coalesce("class", "rid").alias("class")), "members"
     )
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
-    heads = members.groupBy("class").agg(first_row.alias("head"), F.count("*").alias("class_size"))
+    heads = store(members.groupBy("class").agg(first_row.alias("head"), F.count("*").alias("class_size")), "heads")
     return members.join(heads, "class").select(
         "rid", "doc_id", F.col("head.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("head.rid")).alias("kept")
     )
@@ -266,9 +332,7 @@ def near_duplicates(
 
 def drop_near_copies(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """``docs``, read from files, with one row of each class of near-duplicates; all columns stay."""
-    kept = near_duplicates(docs, threshold).filter("kept").select(F.col("rid").alias("_rid"))
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    return rows.join(kept, "_rid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_rows(docs, near_duplicates(docs, threshold).filter("kept").select("rid"), "left_semi")
 
 
 @query("op3_dart_minhash")
