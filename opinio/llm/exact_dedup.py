@@ -114,7 +114,7 @@ def _by_row(named: DataFrame) -> DataFrame:
 def _decided(docs: DataFrame, block_bytes: int) -> DataFrame:
     ids = store(text_names(docs, block_bytes), "text-names")
     best = F.max(F.struct("doc_id", "rid"))
-    groups = ids.groupBy("level", "name").agg(best.alias("_best"), F.count("*").alias("group_size"))
+    groups = store(ids.groupBy("level", "name").agg(best.alias("_best"), F.count("*").alias("group_size")), "text-groups")
     return ids.join(groups, ["level", "name"]).select(
         "rid",
         "doc_id",
