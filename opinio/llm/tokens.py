@@ -11,7 +11,7 @@ import functools
 import re
 import struct
 
-CACHED_PIECES = 500_000
+CACHED_PIECES = 800_000
 _MARKS = ".,;:!?"  # after a letter, such a mark starts a piece of its own in either kind of tokenizer
 _PLAIN = re.compile(r"\n?\S+")
 
@@ -67,10 +67,6 @@ class Encoder:
         return self._whole(piece)
 
     def _spaced(self, piece: str) -> bytes:
-        if piece.startswith("\n\n"):  # the first piece of a text
-            if not _PLAIN.fullmatch(piece, 2):
-                raise _Odd
-            return self._whole(piece[2:])
         if not _PLAIN.fullmatch(piece):
             raise _Odd
         if piece[-1] in self.marks and piece[-2:-1].isalpha():
@@ -84,9 +80,9 @@ class Encoder:
         if not self.leading:
             return b"".join(map(look, text.replace("\n", " ").split(" ")))
         cut = text.replace("\n", " \n").split(" ")
-        cut[0] = "\n\n" + cut[0]
+        cut[0] = "\n" + cut[0]  # a text starts like a line; the line feed, one id of its own, is left out
         try:
-            return b"".join(map(look, cut))
+            return b"".join(map(look, cut))[4:]
         except _Odd:
             return self._whole(text)
 
