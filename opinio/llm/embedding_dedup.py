@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.density import connected_components
 from ..session import collect_bounded, store
 from .registry import query
-from .tables import keyed
+from .tables import keyed, least_by_hash
 
 COSINE = 0.98
 SAMPLE = 20_000  # vectors that the index is fitted on, those of least hash; every vector is indexed
@@ -147,7 +147,7 @@ def _linked(index: Index, threshold: float):
 
 def _links(points: DataFrame, threshold: float, lists: int, sample: int) -> DataFrame:
     """(node, n, root) from each block that a vector met: weights of its links there, and a node it is connected with."""
-    fitted = points.orderBy(F.xxhash64("node"), "node").limit(sample).select("vector").collect()
+    fitted = least_by_hash(points, sample, "node").select("vector").collect()
     index = Index(_units(_doubles([r["vector"] for r in fitted])), max(1, min(lists, math.isqrt(points.count()) // 2)))
     reach = math.sqrt(2 - 2 * threshold) + 1e-6
 

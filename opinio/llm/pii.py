@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import store
 from .registry import query
-from .tables import documents, keyed, with_rows
+from .tables import documents, keyed, least_by_hash, with_rows
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 20_000  # most matches that the trees are fitted on, those of least hash
@@ -143,7 +143,7 @@ def choose(measured: DataFrame, sample: int = SAMPLE, precision: float = PRECISI
     sets the thresholds by a histogram of scores for each kind.
     """
     labelled = measured.filter("strict").withColumn("y", F.col("valid").cast("double"))
-    fitted = store(labelled.filter(_part() != 0).orderBy(F.xxhash64("rid", "kind", "start"), "rid", "kind", "start").limit(sample).select("y", *FEATURES), "fitted")
+    fitted = store(least_by_hash(labelled.filter(_part() != 0), sample, "rid", "kind", "start").select("y", *FEATURES), "fitted")
     nothing = measured.filter("false").select("rid", "kind", "start", "end")
     if fitted.select("y").distinct().count() < 2:
         return nothing

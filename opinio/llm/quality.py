@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import store
 from .registry import query
-from .tables import documents, keyed, with_rows
+from .tables import documents, keyed, least_by_hash, with_rows
 
 BUCKETS = 1 << 13  # words are hashed to so many vectors: the model has one size for any corpus
 DIMENSIONS = 32
@@ -181,7 +181,7 @@ def train(features: DataFrame, labels: DataFrame, label: str = "quality", sample
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("double").alias("y"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    chosen = features.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample).select("pooled", "y").collect()
+    chosen = least_by_hash(features.join(known, "doc_id"), sample, "doc_id", "y").select("pooled", "y").collect()
     y = np.array([r["y"] for r in chosen])
     if len(y) < 10 or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
