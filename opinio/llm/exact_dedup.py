@@ -34,22 +34,14 @@ def _first_places(batch: pd.DataFrame, size: int):
         yield rid, cut, [first.setdefault(b, (rid, i)) for i, b in enumerate(cut)]
 
 
-def _new_blocks(size: int):
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [
-                (b, rid, i)
-                for rid, cut, places in _first_places(batch, size)
-                for i, (b, place) in enumerate(zip(cut, places))
-                if place == (rid, i)
-            ]
-            yield pd.DataFrame(out, columns=["block", "frid", "fpos"])
+_CUT = "rid bigint, doc_id bigint, text_sha256 string, fresh array<struct<fpos:int,block:binary>>, places array<struct<frid:bigint,fpos:int>>"
 
-    return cut
 
+def _cut(size: int):
+    """Each row's references and the blocks that its batch sees first, from one look at the batch: a second scan may
+    cut its batches at other rows."""
 
-def _references(size: int):
-    def refer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for (rid, cut, places), key in zip(_first_places(batch, size), batch["doc_id"]):
@@ -58,31 +50,34 @@ def _references(size: int):
                         "rid": rid,
                         "doc_id": None if pd.isna(key) else int(key),
                         "text_sha256": hashlib.sha256(b"".join(cut)).hexdigest(),
+                        "fresh": [{"fpos": i, "block": b} for i, (b, place) in enumerate(zip(cut, places)) if place == (rid, i)],
                         "places": [{"frid": r, "fpos": p} for r, p in places],
                     }
                 )
-            yield pd.DataFrame(out, columns=["rid", "doc_id", "text_sha256", "places"])
+            yield pd.DataFrame(out, columns=["rid", "doc_id", "text_sha256", "fresh", "places"])
+
+    return cut_batches
 
-    return refer
+
+def _check(found: int, wanted: int, what: str) -> None:
+    if found != wanted:
+        raise RuntimeError(f"exact_dedup: {found} {what} instead of {wanted}")
 
 
 def text_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(rid, doc_id, text_sha256, level, name): one collision-free name per row of ``docs``.
 
     Each task first looks blocks up among those of its own batch, so a block shared by a third of all rows is
-    shuffled once per batch, and the blocks are shuffled only once. A null text counts as empty.
+    shuffled once per batch. Blocks and references come from one scan, which is stored; that every reference
+    found its block, and every row its name, is checked. A null text counts as empty.
     """
-    rows = keyed(docs, "doc_id", "text")
-    fresh = rows.select("rid", "text").mapInPandas(_new_blocks(block_bytes), "block binary, frid bigint, fpos int")
+    refs = store(keyed(docs, "doc_id", "text").mapInPandas(_cut(block_bytes), _CUT), "block-places")
+    fresh = refs.select(F.col("rid").alias("frid"), F.explode("fresh").alias("new")).select("frid", "new.fpos", "new.block")
     named = numbered(fresh, F.col("block"), ["block"], "name").select("frid", "fpos", "name")
-    refs = store(
-        rows.mapInPandas(
-            _references(block_bytes), "rid bigint, doc_id bigint, text_sha256 string, places array<struct<frid:bigint,fpos:int>>"
-        ),
-        "block-places",
-    )
     single = refs.select("rid", F.posexplode("places").alias("pos", "place")).select("rid", "pos", "place.frid", "place.fpos")
     state = store(_by_row(single.join(named, ["frid", "fpos"])), "block-names")
+    blocks = lambda df, column: df.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
+    _check(blocks(state, "names"), blocks(refs, "places"), "named blocks")
     finished, level = [], 0
     while True:
         finished.append(state.filter(F.size("names") == 1).select("rid", F.lit(level).alias("level"), F.col("names")[0].alias("name")))
@@ -96,7 +91,9 @@ def text_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     ids = finished[0]
     for more in finished[1:]:
         ids = ids.unionByName(more)
-    return ids.join(refs.select("rid", "doc_id", "text_sha256"), "rid")
+    ids = store(ids.join(refs.select("rid", "doc_id", "text_sha256"), "rid"), "text-names")
+    _check(ids.count(), refs.count(), "named rows")
+    return ids
 
 
 def _pairs(names: str):
@@ -112,7 +109,7 @@ def _by_row(named: DataFrame) -> DataFrame:
 
 
 def _decided(docs: DataFrame, block_bytes: int) -> DataFrame:
-    ids = store(text_names(docs, block_bytes), "text-names")
+    ids = text_names(docs, block_bytes)
     best = F.max(F.struct("doc_id", "rid"))
     groups = store(ids.groupBy("level", "name").agg(best.alias("_best"), F.count("*").alias("group_size")), "text-groups")
     return ids.join(groups, ["level", "name"]).select(
