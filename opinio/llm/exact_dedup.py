@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import store
 from .registry import query
-from .tables import documents, keyed, numbered, with_rows
+from .tables import Rows, documents, keyed, numbered
 
 BLOCK_BYTES = 4096
 
@@ -65,13 +65,18 @@ def _check(found: int, wanted: int, what: str) -> None:
 
 
 def text_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(rid, doc_id, text_sha256, level, name): one collision-free name per row of ``docs``.
+    """(rid, doc_id, text_sha256, level, name): one collision-free name per row of ``docs``."""
+    return _names(keyed(docs, "doc_id", "text"), block_bytes)
+
+
+def _names(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """``text_names`` of rows (rid, doc_id, text).
 
     Each task first looks blocks up among those of its own batch, so a block shared by a third of all rows is
     shuffled once per batch. Blocks and references come from one scan, which is stored; that every reference
     found its block, and every row its name, is checked. A null text counts as empty.
     """
-    refs = store(keyed(docs, "doc_id", "text").mapInPandas(_cut(block_bytes), _CUT), "block-places")
+    refs = store(rows.mapInPandas(_cut(block_bytes), _CUT), "block-places")
     fresh = refs.select(F.col("rid").alias("frid"), F.explode("fresh").alias("new")).select("frid", "new.fpos", "new.block")
     named = numbered(fresh, F.col("block"), ["block"], "name").select("frid", "fpos", "name")
     single = refs.select("rid", F.posexplode("places").alias("pos", "place")).select("rid", "pos", "place.frid", "place.fpos")
@@ -108,8 +113,8 @@ def _by_row(named: DataFrame) -> DataFrame:
     return gathered.select("rid", F.transform("_n", lambda x: x["name"]).alias("names"))
 
 
-def _decided(docs: DataFrame, block_bytes: int) -> DataFrame:
-    ids = text_names(docs, block_bytes)
+def _decided(rows: DataFrame, block_bytes: int) -> DataFrame:
+    ids = _names(rows, block_bytes)
     best = F.max(F.struct("doc_id", "rid"))
     groups = store(ids.groupBy("level", "name").agg(best.alias("_best"), F.count("*").alias("group_size")), "text-groups")
     return ids.join(groups, ["level", "name"]).select(
@@ -130,12 +135,13 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     other columns are ignored. Groups are totals with map-side combining, joined back under adaptive skew
     handling.
     """
-    return _decided(docs, block_bytes).drop("rid")
+    return _decided(keyed(docs, "doc_id", "text"), block_bytes).drop("rid")
 
 
 def drop_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs``, read from files, without the rows that ``exact_dedup`` drops; all columns stay."""
-    return with_rows(docs, _decided(docs, block_bytes).filter("kept").select("rid"), "left_semi")
+    """``docs`` without the rows that ``exact_dedup`` drops; all columns stay."""
+    rows = Rows(docs)
+    return rows.join(_decided(rows.keyed("doc_id", "text"), block_bytes).filter("kept").select("rid"), "left_semi")
 
 
 @query(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import store
 from .registry import query
-from .tables import documents, keyed
+from .tables import documents, numbered_rows
 
 MIN_WORDS = 5
 
@@ -79,7 +79,7 @@ def remove_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     null doc_id come first; repeated rows are copies like any others. If no line is left the text is empty. An
     empty table gives no rows; other columns are ignored.
     """
-    rows = keyed(docs, "doc_id", "text")
+    rows = numbered_rows(docs, "doc_id", "text")
     gone = store(removed_lines(rows, min_words).groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("gone")), "removed")
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     # A merge join at every size: the list of removals grows with the corpus and is not for broadcasting.

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import store
 from .registry import query
-from .tables import documents, keyed, with_rows
+from .tables import Rows, documents, keyed
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -66,10 +66,22 @@ def mix_documents(
     last in order. Sources without words have target 0. Other columns are ignored; an empty table gives no
     rows. A hot source is a total like any other: sums are combined before they are shuffled.
     """
+    return _mixed(keyed(docs, "doc_id", "source", "text"), weights, share, repeats, level_bits, levels)
+
+
+def _mixed(
+    rows: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = SHARE,
+    repeats: int = REPEATS,
+    level_bits: int = LEVEL_BITS,
+    levels: int = LEVELS,
+) -> DataFrame:
+    """``mix_documents`` of rows (rid, doc_id, source, text)."""
     number = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 12), 16, 10).cast("bigint")
     if levels * level_bits != 48:
         raise ValueError("levels * level_bits must be 48, the bits of the hash")
-    rows = store(keyed(docs.select("doc_id", "source", words("text").alias("size"), number.alias("hash")), "doc_id", "source", "size", "hash"), "word-counts")
+    rows = store(rows.select("rid", "doc_id", "source", words("text").alias("size"), number.alias("hash")), "word-counts")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     state = source_targets(sizes, weights, share, repeats).withColumn("copies", copies)
@@ -111,11 +123,11 @@ def mix_documents(
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """``docs``, read from files, each row as many times as the mix takes it; all columns stay."""
-    columns = docs.columns
-    times = mix_documents(docs).select("rid", F.array_repeat(F.lit(True), F.col("times")).alias("times")).filter(F.size("times") > 0)
+    """``docs``, each row as many times as the mix takes it; all columns stay."""
+    columns, rows = docs.columns, Rows(docs)
+    times = _mixed(rows.keyed("doc_id", "source", "text")).select("rid", F.array_repeat(F.lit(True), F.col("times")).alias("times")).filter(F.size("times") > 0)
     name = "_taken" + "_" * max((len(c) for c in columns), default=0)
-    repeated = with_rows(docs, times.withColumnRenamed("times", name)).withColumn(name, F.explode(name))
+    repeated = rows.join(times.withColumnRenamed("times", name)).withColumn(name, F.explode(name))
     return repeated.drop(name)
 
 

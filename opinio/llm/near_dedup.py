@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.density import connected_components
 from ..session import store
 from .registry import query
-from .tables import documents, keyed, with_rows
+from .tables import Rows, documents, numbered_rows
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -273,8 +273,12 @@ def near_duplicates(
     equal shingle sets are one node, so copies never meet each other. Null and blank texts have no shingles and
     stand alone. An empty table gives no rows; other columns are ignored.
     """
+    return _classes(numbered_rows(docs, "doc_id", "text"), threshold, size, bands, rows, agree, weights)
+
+
+def _classes(base: DataFrame, threshold: float, size: int, bands: int, rows: int, agree: int, weights: str) -> DataFrame:
+    """``near_duplicates`` of a stored table (rid, doc_id, text)."""
     counted = weights == "counts"
-    base = keyed(docs, "doc_id", "text")
     signed = store(base.mapInPandas(_signatures(size, bands, rows, counted), _SIGNED), "bands")
     nodes = store(signed.filter("digest is not null").groupBy("digest").agg(F.min("rid").alias("node")), "nodes")
     placed = (
@@ -331,8 +335,10 @@ def near_duplicates(
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """``docs``, read from files, with one row of each class of near-duplicates; all columns stay."""
-    return with_rows(docs, near_duplicates(docs, threshold).filter("kept").select("rid"), "left_semi")
+    """``docs`` with one row of each class of near-duplicates; all columns stay."""
+    rows = Rows(docs)
+    classes = _classes(rows.keyed("doc_id", "text"), threshold, SHINGLE_WORDS, BANDS, ROWS, AGREE, "ones")
+    return rows.join(classes.filter("kept").select("rid"), "left_semi")
 
 
 @query("op3_dart_minhash")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import store
 from .registry import query
-from .tables import documents, keyed, least_by_hash, with_rows
+from .tables import Rows, documents, least_by_hash, numbered_rows
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 20_000  # most matches that the trees are fitted on, those of least hash
@@ -168,7 +168,11 @@ def personal_data(docs: DataFrame, sample: int = SAMPLE, precision: float = PREC
     A null text counts as empty and has no spans; repeated rows have the same spans each; an empty table gives
     no rows; other columns are ignored. Added spans do not overlap base spans of their kind, nor each other.
     """
-    rows = keyed(docs, "doc_id", "text")
+    return _found(numbered_rows(docs, "doc_id", "text"), sample, precision)
+
+
+def _found(rows: DataFrame, sample: int, precision: float) -> DataFrame:
+    """``personal_data`` of a stored table (rid, doc_id, text)."""
     measured = store(_measured(_spans(rows.select("rid", "text"))), "spans")
     base = measured.filter("valid").select("rid", "kind", "start", "end", F.lit(False).alias("added"))
     both = base.unionByName(choose(measured, sample, precision).withColumn("added", F.lit(True)))
@@ -185,9 +189,10 @@ def personal_data(docs: DataFrame, sample: int = SAMPLE, precision: float = PREC
 
 
 def redact(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
-    """``docs``, read from files, with every character of a found span replaced by ``*``; all columns stay."""
+    """``docs`` with every character of a found span replaced by ``*``; all columns stay."""
     name = "_spans" + "_" * max((len(c) for c in docs.columns), default=0)
-    found = personal_data(docs, sample, precision).select("rid", F.col("spans").alias(name))
+    rows = Rows(docs)
+    found = _found(rows.keyed("doc_id", "text"), sample, precision).select("rid", F.col("spans").alias(name))
     masked = F.aggregate(
         name,
         F.col("text"),
@@ -197,7 +202,7 @@ def redact(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION)
             F.substring(t, (s["end"] + 1).cast("int"), F.length(t)),
         ),
     )
-    return with_rows(docs, found).withColumn("text", masked).drop(name)
+    return rows.join(found).withColumn("text", masked).drop(name)
 
 
 def _written(spans: Column) -> Column:

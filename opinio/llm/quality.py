@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import store
 from .registry import query
-from .tables import documents, keyed, least_by_hash, with_rows
+from .tables import Rows, documents, keyed, least_by_hash
 
 BUCKETS = 1 << 13  # words are hashed to so many vectors: the model has one size for any corpus
 DIMENSIONS = 32
@@ -104,9 +104,9 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (scaled / np.maximum(length, 1e-9)).astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """(doc_id, pooled): mean and standard deviation of the word vectors of each row; zeros for no words."""
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+def pooled(rows: DataFrame, vectors: np.ndarray) -> DataFrame:
+    """(rid, doc_id, pooled) of rows (rid, doc_id, text): mean and deviation of the word vectors of each; zeros for no words."""
+    shared = rows.sparkSession.sparkContext.broadcast(vectors)
 
     def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
@@ -126,7 +126,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
                     out[i, DIMENSIONS:] = np.sqrt(np.maximum(square / len(ids) - mean * mean, 0))
             yield pd.DataFrame({"rid": batch["rid"], "doc_id": batch["doc_id"].astype("Int64"), "pooled": list(out)})
 
-    return keyed(docs, "doc_id", "text").mapInPandas(pool, "rid bigint, doc_id bigint, pooled array<float>")
+    return rows.mapInPandas(pool, "rid bigint, doc_id bigint, pooled array<float>")
 
 
 class Network:
@@ -193,8 +193,8 @@ def train(features: DataFrame, labels: DataFrame, label: str = "quality", sample
     return network
 
 
-def _scored(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    features = store(pooled(docs, word_vectors(docs)), "pooled")
+def _scored(rows: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    features = store(pooled(rows, word_vectors(rows)), "pooled")
     model = train(features, labels, label, sample)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,14 +218,15 @@ def score_quality(
     null for a null doc_id.
     """
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    return _scored(docs, labels, label, sample).select(
+    return _scored(keyed(docs, "doc_id", "text"), labels, label, sample).select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """``docs``, read from files, without the rows that score below ``threshold``; all columns stay."""
-    return with_rows(docs, _scored(docs, labels, label, sample).filter(F.col("score") >= threshold).select("rid"), "left_semi")
+    """``docs`` without the rows that score below ``threshold``; all columns stay."""
+    rows = Rows(docs)
+    return rows.join(_scored(rows.keyed("doc_id", "text"), labels, label, sample).filter(F.col("score") >= threshold).select("rid"), "left_semi")
 
 
 @query("op7_random_indexing")

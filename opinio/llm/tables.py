@@ -18,21 +18,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyed(df: DataFrame, *columns: str) -> DataFrame:
     """The chosen columns under a row number ``rid``, so repeated or null keys stay separate rows.
 
-    Row numbers follow the scan. Read them from a stored table, or twice from the same unchanged files.
+    Row numbers follow the scan, whose splits may differ the next time even on the same files: store what is
+    derived from them in one go, or use ``numbered_rows`` where rows are read again.
     """
     return df.select(F.monotonically_increasing_id().alias("rid"), *columns)
 
 
-def with_rows(docs: DataFrame, decided: DataFrame, how: str = "inner") -> DataFrame:
-    """``docs``, read from files, joined with ``decided`` on the row numbers ``rid`` that ``keyed`` gave the same files.
+def numbered_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """``keyed``, stored: every reader finds the same number on the same row."""
+    return store(keyed(docs, *columns), "rows")
 
-    The columns of ``docs`` come first; whatever they are called, they do not clash with the key.
-    """
-    key = "_rid"
-    while key.lower() in (c.lower() for c in [*docs.columns, *decided.columns]):
-        key += "_"
-    rows = docs.withColumn(key, F.monotonically_increasing_id())
-    return rows.join(decided.withColumnRenamed("rid", key), key, how).drop(key)
+
+class Rows:
+    """``docs`` stored once with a row number, under a name that clashes with no column."""
+
+    def __init__(self, docs: DataFrame):
+        self.columns, self.key = docs.columns, "_rid"
+        while self.key.lower() in (c.lower() for c in docs.columns):
+            self.key += "_"
+        self.table = store(docs.withColumn(self.key, F.monotonically_increasing_id()), "rows")
+
+    def keyed(self, *columns: str) -> DataFrame:
+        """The chosen columns and the row number ``rid``."""
+        return self.table.select(F.col(self.key).alias("rid"), *columns)
+
+    def join(self, decided: DataFrame, how: str = "inner") -> DataFrame:
+        """The rows, all their columns first, joined with ``decided`` on its ``rid``, whose other columns must not clash."""
+        return self.table.join(decided.withColumnRenamed("rid", self.key), self.key, how).drop(self.key)
 
 
 def least_by_hash(df: DataFrame, n: int, *keys: str) -> DataFrame:

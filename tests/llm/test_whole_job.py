@@ -3,9 +3,9 @@
 from collections import Counter
 
 import pytest
-from conftest_llm import frame
+from conftest_llm import frame, prose
 
-from opinio.llm import exact_dedup
+from opinio.llm import exact_dedup, line_dedup, mixing, near_dedup, pii, tables
 
 
 # Exact copies
@@ -25,3 +25,37 @@ def test_batches_cut_by_bytes_lose_no_row(spark):
     sizes, last = Counter(i % 7 for i in range(600)), {i % 7: i for i in range(600)}
     assert all((r["keep_id"], r["group_size"]) == (last[r["doc_id"] % 7], sizes[r["doc_id"] % 7]) for r in got)
     assert sorted(r["doc_id"] for r in kept) == sorted(last.values())
+
+
+# Row numbers
+
+
+def removed(docs):
+    return line_dedup.remove_repeated_runs(docs).drop("rid")
+
+
+@pytest.mark.parametrize("operator", [exact_dedup.drop_copies, near_dedup.drop_near_copies, removed, pii.redact, mixing.mixed_rows])
+def test_file_splits_may_change_between_scans(spark, tmp_path, monkeypatch, operator):
+    """Whatever an operator stores in between, the files are split in another way the next time they are scanned."""
+    rows = [(i, f"{prose(i % 30, 40)}\n+1 (212) 555-{1000 + i % 30}") for i in range(48)]
+    frame(spark, rows).repartition(12).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    key = "spark.sql.files.maxPartitionBytes"
+    wanted = sorted(map(str, operator(docs).collect()))
+
+    def changing(df, name, store=tables.store):
+        out = store(df, name)
+        spark.conf.set(key, "6000")
+        return out
+
+    for module in (exact_dedup, near_dedup, line_dedup, pii, mixing, tables):
+        monkeypatch.setattr(module, "store", changing)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        spark.conf.set(key, "1g")
+        got = sorted(map(str, operator(docs).collect()))
+    finally:
+        for k in (key, "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"):
+            spark.conf.unset(k)
+    assert got == wanted
