@@ -57,19 +57,29 @@ class Encoder:
         self.pieces = _Pieces(self._spaced if self.leading else self._dropped)
         self.marks = {m: self._whole(m) for m in _MARKS}
 
+    def _ends_apart(self, piece: str) -> bool:
+        """Whether the piece's last character is a mark that the pre-tokenizer cuts off. After a letter that is not
+        ASCII it is asked: normalising may turn the letter into one with a combining mark."""
+        if piece[-1:] not in self.marks or not piece[-2:-1].isalpha():
+            return False
+        if piece[-2].isascii():
+            return True
+        plain = self.tokenizer.normalizer.normalize_str(piece) if self.tokenizer.normalizer else piece
+        return self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)[-1][1] == (len(plain) - 1, len(plain))
+
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _dropped(self, piece: str) -> bytes:
-        if piece[-1:] in self.marks and piece[-2:-1].isalpha():
+        if self._ends_apart(piece):
             return self.pieces[piece[:-1]] + self.marks[piece[-1]]
         return self._whole(piece)
 
     def _spaced(self, piece: str) -> bytes:
         if not _PLAIN.fullmatch(piece):
             raise _Odd
-        if piece[-1] in self.marks and piece[-2:-1].isalpha():
+        if self._ends_apart(piece):
             return self.pieces[piece[:-1]] + self.marks[piece[-1]]
         return self._whole(piece if piece[0] == "\n" else " " + piece)
 

@@ -2,10 +2,14 @@
 
 from collections import Counter
 
+import numpy as np
+import public_tokenizers
 import pytest
 from conftest_llm import frame, prose
+from tokenizers import Tokenizer
 
 from opinio.llm import exact_dedup, line_dedup, mixing, near_dedup, pii, tables
+from opinio.llm.tokens import Encoder
 
 
 # Exact copies
@@ -59,3 +63,14 @@ def test_file_splits_may_change_between_scans(spark, tmp_path, monkeypatch, oper
         for k in (key, "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"):
             spark.conf.unset(k)
     assert got == wanted
+
+
+# Tokens
+
+
+@pytest.mark.parametrize("path, spaces", [("byte_bpe_50k.json", "leading"), ("word_bpe_49k.json", "dropped")])
+def test_marks_after_letters_that_normalising_takes_apart(path, spaces):
+    path = public_tokenizers.path(path)
+    plain, pieces = Tokenizer.from_file(path), Encoder(path, spaces)
+    for t in ["पहाड़, ड़.", "ALİ. ALİ", "שׁ. שׁ", "été. É! Å;"]:
+        assert np.frombuffer(pieces.encode(t), dtype="<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, ascii(t)
