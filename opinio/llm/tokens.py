@@ -44,14 +44,18 @@ class Encoder:
     """``encode(text)`` gives the ids of ``tokenizers`` without special tokens, as bytes; ``None`` counts as empty.
 
     ``spaces`` says how the tokenizer treats a space between words: ``leading`` (byte-level BPE, the space belongs
-    to the next word) or ``dropped`` (BPE with word ends). Strings of special tokens in a text are ordinary text.
+    to the next word) or ``dropped`` (BPE with word ends). With ``special_as_text`` strings of special tokens in a
+    text are ordinary text; without, they are what the library makes of them by default, one id each.
     """
 
-    def __init__(self, path: str, spaces: str):
+    def __init__(self, path: str, spaces: str, special_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        # What an added token starts with. Such tokens may span pieces, so a text in which one may occur is encoded whole.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.hints = {c[:2] if c[:2].isascii() and not any(x.isalnum() or x.isspace() for x in c[:2]) else "" for c in added}
         self.width = self.tokenizer.get_vocab_size()
         self.leading = spaces == "leading"
         self.pieces = _Pieces(self._spaced if self.leading else self._dropped)
@@ -86,6 +90,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(h in text for h in self.hints):
+            return self._whole(text)
         look = self.pieces.__getitem__
         if not self.leading:
             return b"".join(map(look, text.replace("\n", " ").split(" ")))
@@ -99,5 +105,5 @@ class Encoder:
 
 @functools.cache
 def encoder(path: str, spaces: str) -> Encoder:
-    """One encoder per worker process and tokenizer file."""
-    return Encoder(path, spaces)
+    """One encoder per worker process and tokenizer file, with the library's default for special tokens."""
+    return Encoder(path, spaces, special_as_text=False)

@@ -9,7 +9,7 @@ from conftest_llm import frame, prose
 from tokenizers import Tokenizer
 
 from opinio.llm import exact_dedup, line_dedup, mixing, near_dedup, pii, tables
-from opinio.llm.tokens import Encoder
+from opinio.llm.tokens import Encoder, encoder
 
 
 # Exact copies
@@ -74,3 +74,14 @@ def test_marks_after_letters_that_normalising_takes_apart(path, spaces):
     plain, pieces = Tokenizer.from_file(path), Encoder(path, spaces)
     for t in ["पहाड़, ड़.", "ALİ. ALİ", "שׁ. שׁ", "été. É! Å;"]:
         assert np.frombuffer(pieces.encode(t), dtype="<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+SPECIAL = ["a <|endoftext|> b", "a<|endoftext|>.\nb", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <| x"]
+
+
+@pytest.mark.parametrize("path, spaces", [("byte_bpe_50k.json", "leading"), ("word_bpe_49k.json", "dropped")])
+def test_queries_encode_special_tokens_as_the_library_does(path, spaces):
+    path = public_tokenizers.path(path)
+    plain, pieces = Tokenizer.from_file(path), encoder(path, spaces)
+    for t in SPECIAL:
+        assert np.frombuffer(pieces.encode(t), dtype="<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
