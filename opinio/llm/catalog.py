@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, sharding, token_output  # noqa: F401
+from . import (  # noqa: F401
+    embedding_dedup, exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, sharding, token_output, whitening,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401
