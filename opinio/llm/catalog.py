@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from . import (  # noqa: F401
-    embedding_dedup, exact_dedup, hmm, line_dedup, mixing, near_dedup, packing, pii, quality, sharding, token_output, whitening,
+    embedding_dedup, exact_dedup, hard_negatives, hmm, line_dedup, mixing, near_dedup, packing, pii, quality, sharding, token_output, whitening,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401
