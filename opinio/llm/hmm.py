@@ -37,7 +37,8 @@ START_ROUNDS = 20  # on the documents that the starting values come from
 START_DOCUMENTS, START_TOKENS = 1500, 400  # at most so many documents of at most so many tokens
 PRIOR = 0.5  # added to expected counts, dealt by the symbols' shares
 POOL_TOKENS = 1 << 22  # tokens whose documents are sorted by length together
-GROUP_TOKENS = 1 << 18  # tokens that are walked side by side
+GROUP_TOKENS = 1 << 19  # tokens that are walked side by side
+SCALED = 8  # positions from one scaling to the next; so few factors cannot underflow
 COUNTED_WORDS = 500_000  # distinct words that a task counts before it sends them
 CACHED_ENDINGS = 300_000
 
@@ -218,21 +219,33 @@ def _side_by_side(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _forward(model: Model, seen: np.ndarray, begins: np.ndarray, first: int, last: int, entry: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scaled forward values of positions ``first`` to ``last``, their scales, and what the symbols are emitted with.
-    ``entry`` has the values of the position before."""
+
+    Values are scaled to a sum of 1 at every ``SCALED``-th position and at the end of each text; elsewhere the scale
+    is 1. ``entry`` has the values of the position before. A state is a row, so numpy's inner loops run over texts.
+    """
     low, high = begins[first], begins[last]
-    emitted = model.emits[seen[low:high]]
-    alpha, scale, steps, before = np.empty_like(emitted), np.empty(high - low), model.steps, entry
-    for a, b in zip((begins[first:last] - low).tolist(), (begins[first + 1 : last + 1] - low).tolist()):
-        now = alpha[a:b]
+    emitted = np.take(np.ascontiguousarray(model.emits.T), seen[low:high], axis=1)
+    alpha, scale, turned, before = np.empty_like(emitted), np.ones(high - low), np.ascontiguousarray(model.steps.T), entry
+    edges = (begins[first : last + 1] - low).tolist()
+    for t, (a, b) in enumerate(zip(edges, edges[1:]), first):
+        now = alpha[:, a:b]
         if before is None:
-            np.multiply(emitted[a:b], model.start, out=now)
+            np.multiply(emitted[:, a:b], model.start[:, None], out=now)
         else:
-            np.matmul(before[: b - a], steps, out=now)
-            now *= emitted[a:b]
-        total = scale[a:b]
-        np.sum(now, axis=1, out=total)
-        now /= total[:, None]
+            np.matmul(turned, before[:, : b - a], out=now)
+            now *= emitted[:, a:b]
+        if t % SCALED == SCALED - 1:
+            np.add.reduce(now, axis=0, out=scale[a:b])
+            now /= scale[a:b]
         before = now
+    # The texts that end at a position are the last of it: those beyond the width of the next one.
+    width = np.diff(begins)[first : last + 1]
+    following = np.append(width[1:], 0) if len(width) == last - first else width[1:]
+    place = np.arange(high - low) - np.repeat(begins[first:last] - low, width[: last - first])
+    ends = np.flatnonzero(place >= np.repeat(following, width[: last - first]))
+    totals = alpha[:, ends].sum(axis=0)
+    alpha[:, ends] /= totals
+    scale[ends] *= totals
     return alpha, scale, emitted
 
 
@@ -255,7 +268,7 @@ def log_likelihoods(model: Model, texts: list[np.ndarray], limit: int = GROUP_TO
         logs, low = np.log(scale), begins[first]
         width = begins[first + 1 : last + 1] - begins[first:last]
         out += np.bincount(np.arange(len(logs)) - np.repeat(begins[first:last] - low, width), weights=logs, minlength=len(texts))
-        entry = alpha[begins[last - 1] - low :].copy()
+        entry = alpha[:, begins[last - 1] - low :].copy()
     return out
 
 
@@ -267,33 +280,33 @@ def expect(model: Model, texts: list[np.ndarray], into: Counts, limit: int = GRO
     entries, kept = [None], None
     for first, last in spans:
         kept = _forward(model, seen, begins, first, last, entries[-1])
-        entries.append(kept[0][begins[last - 1] - begins[first] :].copy())
-    states, after, turned = len(model.start), None, np.ascontiguousarray(model.steps.T)
+        entries.append(kept[0][:, begins[last - 1] - begins[first] :].copy())
+    after = None
     for k in range(len(spans) - 1, -1, -1):
         (first, last), low = spans[k], begins[spans[k][0]]
         alpha, scale, emitted = kept if k == len(spans) - 1 else _forward(model, seen, begins, first, last, entries[k])
         beta, coming = np.ones_like(alpha), emitted  # coming: emitted * beta / scale, what a position gives the one before
-        coming /= scale[:, None]
+        coming /= scale
         edges = (begins[first : last + 1] - low).tolist()
         for t in range(len(edges) - 2, -1, -1):
             a, b = edges[t], edges[t + 1]
-            if after is not None and len(after):
-                np.matmul(after, turned, out=beta[a : a + len(after)])
-            after = coming[a:b]
-            after *= beta[a:b]
+            if after is not None and after.shape[1]:
+                beta[:, a : a + after.shape[1]] = model.steps @ after
+            after = coming[:, a:b]
+            after *= beta[:, a:b]
         after = after.copy()
         beta *= alpha
-        for s in range(states):
-            into.emits[:, s] += np.bincount(seen[low : begins[last]], weights=beta[:, s], minlength=len(into.emits))
+        for s, row in enumerate(beta):
+            into.emits[:, s] += np.bincount(seen[low : begins[last]], weights=row, minlength=len(into.emits))
         if first == 0:
-            into.start += beta[: begins[1]].sum(axis=0)
+            into.start += beta[:, : begins[1]].sum(axis=1)
         # Each symbol but those of position 0 has one before it, as many places back as that position is wide.
         width = np.diff(begins[first : last + 1])
         back = np.repeat(np.concatenate([[0], width[:-1]]), width)
-        inner = np.arange(width[0], len(coming))
-        into.steps += model.steps * (alpha[inner - back[inner]].T @ coming[inner])
+        inner = np.arange(width[0], coming.shape[1])
+        into.steps += model.steps * (np.take(alpha, inner - back[inner], axis=1) @ coming[:, width[0] :].T)
         if first > 0:
-            into.steps += model.steps * (entries[k][: width[0]].T @ coming[: width[0]])
+            into.steps += model.steps * (entries[k][:, : width[0]] @ coming[:, : width[0]].T)
 
 
 def _groups(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
