@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as tx
 from ..functions.fixed_values import LABELS, PRODUCT_WORDS
 from ..operators import classify, clean, labels, metrics, relational, splits, topics
+from ..session import store
 
 
 def clean_review_table(
@@ -55,10 +56,10 @@ def train_and_tune(
     min_df: float = 2,
 ) -> tuple[classify.MultiLabelModel, DataFrame]:
     """(model with thresholds tuned on the validation rows, long predictions of the untouched test rows)."""
-    split = splits.train_val_test_split(rows, id).cache()
+    split = splits.train_val_test_split(store(rows, "tuned-rows"), id)
     train = split.filter("split = 'train'")
     vectoriser = topics.tfidf_model(train, tokens, min_df=min_df)
-    fitted = fit(vectoriser.transform(train).cache(), names)
+    fitted = fit(store(vectoriser.transform(train), "tuned-features"), names)
     valid = classify.classifier_scores(fitted, vectoriser.transform(split.filter("split = 'val'")), id, names)
     tuned = {r["label"]: r["threshold"] for r in metrics.best_threshold(valid).collect()}
     thresholds = {c: tuned.get(c, 0.5) for c in names}

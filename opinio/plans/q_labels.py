@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv, text as tx, vectors as vx
-from ..operators import classify, knn, labels, metrics, relational, scoring, splits, topics, vectors
-from ..session import shared_folder
+from ..operators import classify, features, knn, labels, linear, metrics, relational, scoring, splits, topics, vectors
+from ..operators.features import TfidfParams
+from ..session import shared_folder, store
 from ..sources import feature_store, models, readers, writers
 from ..streaming import streams
 from . import views as v
@@ -369,7 +368,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     vectoriser, train, _ = _prepared(spark, sf)
-    fitted = classify.MultiLabelModel(vectoriser, classify.logreg_ovr(train, v.SCORE_LABELS, max_iter=STEPS), CUTS)
+    fitted = classify.MultiLabelModel(vectoriser, classify.logreg_ovr(train, v.SCORE_LABELS), CUTS)
     rows = scoring.score_batch(labelled_tokens(spark, sf), fitted, "comment_id")
     each = rows.select(F.col("comment_id").alias("id"), F.explode("result").alias("label", "r")).select("id", "label", "r.*")
     consistent = (F.col("prediction") == (F.col("probability") > F.col("threshold")).cast("int")) & F.col("probability").between(0, 1)
@@ -433,14 +432,11 @@ def _test_sql(columns):
     return " UNION ALL ".join(one.format(c, columns.format(c)) for c in v.SCORE_LABELS)
 
 
-STEPS = 50  # optimiser steps of the registered fits, each a Spark job; the operators' own defaults run to convergence
-
-
 def _prepared(spark, sf, **terms):
-    rows = splits.train_test_split(labelled_tokens(spark, sf), "comment_id").cache()
+    rows = splits.train_test_split(store(labelled_tokens(spark, sf), "labelled-tokens"), "comment_id")
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
     vectoriser = topics.tfidf_model(train, "tokens", **({"min_df": 2} | terms))
-    return vectoriser, vectoriser.transform(train).cache(), vectoriser.transform(test)
+    return vectoriser, store(vectoriser.transform(train), "labelled-features"), vectoriser.transform(test)
 
 
 def _reported(fitted, test):
@@ -448,22 +444,36 @@ def _reported(fitted, test):
     return scored.select("id", "label", "y_true", F.col("score").between(0, 1).alias("in_range"))
 
 
-@query("logreg_ovr", _test_sql("true AS in_range"))
+#: Largest norm of a gradient at which a fit counts as the optimum.
+SMALL = 1e-3
+
+
+def _linear(spark, sf, loss, params):
+    """Scores of the test rows; ``converged`` comes from the gradient over all training rows, measured by plain joins."""
+    rows = splits.train_test_split(store(labelled_tokens(spark, sf), "labelled-tokens"), "comment_id")
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    vocab, weights = features.tfidf_fit(train, "comment_id", F.col("tokens"), params)
+    vocab, weights = store(vocab, "vocabulary"), store(weights, "weights")
+    fitted = linear.fit(weights, train, "comment_id", [linear.Model(c) for c in v.SCORE_LABELS], loss)
+    norms = dict(zip(v.SCORE_LABELS, linear.gradient_norms(fitted, weights, train, "comment_id")))
+    scored = linear.scores(fitted, features.tfidf_transform(test, "comment_id", F.col("tokens"), vocab, params), test, "comment_id")
+    small = F.create_map(*[x for c, g in norms.items() for x in (F.lit(c), F.lit(g < SMALL))])
+    return scored.select("id", "label", "y_true", F.col("score").between(0, 1).alias("in_range"), small[F.col("label")].alias("converged"))
+
+
+@query("logreg_ovr", _test_sql("true AS in_range, true AS converged"))
 def _(spark, sf):
-    _, train, test = _prepared(spark, sf)
-    return _reported(classify.logreg_ovr(train, v.SCORE_LABELS, max_iter=STEPS), test)
+    return _linear(spark, sf, "logistic", TfidfParams(min_df=2))
 
 
-@query("linear_svm_ovr", _test_sql("true AS in_range"))
+@query("linear_svm_ovr", _test_sql("true AS in_range, true AS converged"))
 def _(spark, sf):
-    _, train, test = _prepared(spark, sf)
-    return _reported(classify.linear_svm_ovr(train, v.SCORE_LABELS, max_iter=STEPS), test)
+    return _linear(spark, sf, "squared_hinge", TfidfParams(min_df=2))
 
 
-@query("svm_bigrams", _test_sql("true AS in_range"))
+@query("svm_bigrams", _test_sql("true AS in_range, true AS converged"))
 def _(spark, sf):
-    _, train, test = _prepared(spark, sf, min_df=5, max_df=0.9, low=1, high=2, stops=v.STOPS)
-    return _reported(classify.linear_svm_ovr(train, v.SCORE_LABELS, max_iter=STEPS), test)
+    return _linear(spark, sf, "squared_hinge", TfidfParams(1, 2, min_df=5, max_df=0.9, stops=tuple(v.STOPS)))
 
 
 @query("gbt_multi", _test_sql("true AS in_range"))
@@ -472,31 +482,30 @@ def _(spark, sf):
     from pyspark.ml.functions import array_to_vector
 
     known = v.table(spark, sf, "labels").select(F.col("doc_id").alias("comment_id"), *v.SCORE_LABELS)
-    table = rows.select("comment_id", array_to_vector("embedding").alias("features")).join(known, "comment_id").cache()
+    table = rows.select("comment_id", array_to_vector("embedding").alias("features")).join(known, "comment_id")
+    table = store(table, "labelled-vectors")
     split = splits.train_test_split(table, "comment_id")
     fitted = classify.gbt_multi(split.filter("split = 'train'"), v.SCORE_LABELS, trees=5, depth=3)
     return _reported(fitted, split.filter("split = 'test'"))
 
 
-GRID = {"c": [0.1, 1.0]}
+GRID, FOLDS = [0.01, 0.1, 1.0, 10.0], 5
 
 
-@query("grid_search", " UNION ALL ".join(f"SELECT '{{''c'': {c}}}' AS params, true AS in_range" for c in GRID["c"]))
+@query("grid_search", " UNION ALL ".join(f"SELECT {c}::DOUBLE AS c, CAST({FOLDS} AS BIGINT) AS folds, true AS in_range, true AS converged" for c in GRID))
 def _(spark, sf):
-    rows = labelled_tokens(spark, sf).cache()
-
-    def prepare(train, valid):
-        vectoriser = topics.tfidf_model(train, "tokens", min_df=2)
-        return vectoriser.transform(train), vectoriser.transform(valid)
-
-    found = classify.grid_search(rows, v.SCORE_LABELS, partial(classify.logreg_ovr, max_iter=STEPS // 5), GRID, "comment_id", k=2, prepare=prepare)
-    return found.select("params", F.col("f1_macro").between(0, 1).alias("in_range"))
+    rows = store(splits.kfold(labelled_tokens(spark, sf), "comment_id", FOLDS), "folds")
+    weights = store(features.tfidf(rows, "comment_id", F.col("tokens"), TfidfParams(min_df=2)), "weights")
+    fitted = linear.fit(weights, rows, "comment_id", linear.grid_models(v.SCORE_LABELS, GRID, FOLDS), fold="fold")
+    norms = linear.gradient_norms(fitted, weights, rows, "comment_id", "fold")
+    found = linear.grid_scores(fitted, weights, rows, "comment_id")
+    return found.select("c", "folds", F.col("f1_macro").between(0, 1).alias("in_range"), F.lit(max(norms) < SMALL).alias("converged"))
 
 
 @query("classifier_scores", _test_sql("CASE '{0}' WHEN 'quality' THEN 0.21::DOUBLE ELSE 0.44::DOUBLE END AS threshold, true AS consistent"))
 def _(spark, sf):
     _, train, test = _prepared(spark, sf)
-    scored = classify.classifier_scores(classify.logreg_ovr(train, v.SCORE_LABELS, max_iter=STEPS), test, "comment_id", v.SCORE_LABELS)
+    scored = classify.classifier_scores(classify.logreg_ovr(train, v.SCORE_LABELS), test, "comment_id", v.SCORE_LABELS)
     cut = metrics.apply_thresholds(scored, CUTS, strict=False)
     return cut.select("id", "label", "y_true", "threshold", (F.col("prediction") == (F.col("score") >= F.col("threshold")).cast("int")).alias("consistent"))
 
@@ -621,7 +630,7 @@ def _same(expected, got):
 @query("save_load_model", "SELECT doc_id AS id, true AS same FROM labels JOIN documents USING (doc_id)")
 def _(spark, sf):
     vectoriser, train, _ = _prepared(spark, sf)
-    fitted = classify.MultiLabelModel(vectoriser, classify.logreg_ovr(train, v.SCORE_LABELS, max_iter=STEPS), CUTS)
+    fitted = classify.MultiLabelModel(vectoriser, classify.logreg_ovr(train, v.SCORE_LABELS), CUTS)
     root = scratch(spark, "models")
     models.save_model(spark, fitted, root, "logreg", "regex")
     again = models.load_model(spark, root, "logreg", "regex")
@@ -632,7 +641,7 @@ def _(spark, sf):
 @query("score_stream", "SELECT doc_id AS id, true AS same FROM documents")
 def _(spark, sf):
     vectoriser, train, _ = _prepared(spark, sf)
-    fitted = classify.MultiLabelModel(vectoriser, classify.logreg_ovr(train, v.SCORE_LABELS, max_iter=STEPS), CUTS)
+    fitted = classify.MultiLabelModel(vectoriser, classify.logreg_ovr(train, v.SCORE_LABELS), CUTS)
     inbox, out, mark = (scratch(spark, n) for n in ("inbox", "scored", "progress"))
     v.reviews(spark, sf).select("comment_id", "commentaire").write.parquet(inbox)
     arriving = streams.read_reviews_stream(spark, inbox, spark.read.parquet(inbox).schema)
