@@ -46,5 +46,5 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 
 
 def test_queries_are_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(ORACLES) <= set(QUERIES)
