@@ -45,6 +45,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STORED: list[str] = []  # folders of the tables that this driver stored and has not removed
+
+
+def stored_tables() -> list[str]:
+    return list(_STORED)
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Removes stored tables through the file system that holds them. Only for tables that no plan in use reads, not
+    even to recompute what a lost executor held: their readers' results are written."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        if path in _STORED:
+            _STORED.remove(path)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """The rows written once as a compressed table in the shared folder, and read back.
 
@@ -52,6 +69,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     readers take only the columns they need and Spark knows its size when it picks a join.
     """
     path = f"{shared_folder(df.sparkSession)}/opinio-{name}-{uuid.uuid4().hex}"
+    _STORED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
