@@ -125,28 +125,6 @@ def cluster_embeddings(
     return best.transform(rows).withColumn(out, F.col("_p").cast("int")).drop("_p", "_vec").unionByName(aside)
 
 
-def split_large_clusters(
-    df: DataFrame, topic: str = "topics", vector: str = "embedding", above: int = 2000, per_cluster: int = 200, seed: int = 42
-) -> DataFrame:
-    """Clusters of more than ``above`` rows re-clustered into rows / ``per_cluster`` parts on unit vectors.
-
-    New ids continue after the largest one. The loop runs over the large clusters only (at most rows / above
-    of them), each fitted by distributed k-means on its own rows.
-    """
-    sizes = topic_sizes(df, topic)
-    large = collect_bounded(sizes.filter(F.col("n") > above).orderBy(F.desc("n"), topic), MAX_TOPICS, "large clusters")
-    next_id = sizes.agg(F.max(topic)).first()[0]
-    parts = df if not large else df.filter(~F.col(topic).isin([r[topic] for r in large]) | F.col(topic).isNull())
-    for row in large:
-        k = int(row["n"] / per_cluster)
-        own = df.filter(F.col(topic) == row[topic]).withColumn("_vec", array_to_vector(vx.l2_normalize(vector)))
-        fitted = KMeans(k=k, seed=seed, maxIter=200, featuresCol="_vec", predictionCol="_p").fit(own)
-        renamed = fitted.transform(own).withColumn(topic, (F.col("_p") + (next_id + 1)).cast(df.schema[topic].dataType))
-        parts = parts.unionByName(renamed.select(*df.columns))
-        next_id += k
-    return parts
-
-
 def ctfidf(
     df: DataFrame, tokens: str, topic: str = "topics", stops: Sequence[str] = (), low: int = 1, high: int = 3, max_df: float = 0.95
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import density, quality, topics, vectors
+from ..operators import density, quality, subclusters, topics, vectors
 from ..operators.rows import explode_rows
 from . import views as v
 from .q_features import VOCAB_SQL, sql_ngrams, word_vecs
@@ -189,7 +189,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = v.embeddings(spark, sf).select("vec_id", F.col("label").cast("int").alias("topics"), "embedding")
     last = rows.agg(F.max("topics")).scalar()
-    found = topics.split_large_clusters(rows, above=50, per_cluster=20).withColumn("renamed", F.col("topics") > last)
+    found = subclusters.split_large_clusters(rows, above=50, per_cluster=20).withColumn("renamed", F.col("topics") > last)
     return found.select("vec_id", F.when(F.col("renamed"), -1).otherwise(F.col("topics")).alias("kept_topic"), "renamed")
 
 

@@ -120,14 +120,6 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 if i <= 30 else (31 if i <= 58 else 59) for i in range(60)}
 
 
-def test_split_keeps_rows_and_continues_ids(spark):
-    rng = np.random.default_rng(2)
-    rows = [(i, 0 if i < 60 else 1, rng.normal(size=4).tolist()) for i in range(80)]
-    out = topics.split_large_clusters(spark.createDataFrame(rows, "id long, topics int, embedding array<double>"), above=50, per_cluster=20)
-    got = {r["id"]: r["topics"] for r in out.collect()}
-    assert len(got) == 80 and {got[i] for i in range(60, 80)} == {1} and {got[i] for i in range(60)} <= {2, 3, 4}
-
-
 def test_similarity_of_each_pair_once(spark):
     centres = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0])], "topic int, vector array<double>")
     got = {(r["topic_a"], r["topic_b"]): r["cosine"] for r in topics.topic_similarity(centres.repartition(3)).collect()}
