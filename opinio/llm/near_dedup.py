@@ -8,8 +8,7 @@ rank, about k ln k per document, are ever made.
 
 Documents that agree on all rows of a band meet in a bucket. They are compared exactly, but never all with all:
 each with the bucket's most central document first. What that leaves open is limited by the triangle inequality of
-the Jaccard distance and by the number of bands that two similar documents share; only such pairs of still separate
-classes are compared.
+the Jaccard distance; such pairs of still separate classes are compared once, in the first bucket that they share.
 """
 
 from __future__ import annotations
@@ -32,7 +31,6 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 4  # a pair at the threshold is missed with a probability of (1 - 0.8**4)**32, below 1e-7
 CROWD = 64  # documents in a bucket beyond which its pairs are compared inside tasks
 BLOCK = 1024  # documents of such a bucket that meet as many others in one task
-AGREE = 4  # bands that a pair without a leader must share; at the threshold 13 are expected, fewer than 4 come below 1e-4
 CACHED_WORDS = 300_000
 
 
@@ -262,7 +260,6 @@ def near_duplicates(
     size: int = SHINGLE_WORDS,
     bands: int = BANDS,
     rows: int = ROWS,
-    agree: int = AGREE,
     weights: str = "ones",
 ) -> DataFrame:
     """(rid, doc_id, class_id, class_size, kept): every row of ``docs`` with its class of near-duplicates.
@@ -273,10 +270,10 @@ def near_duplicates(
     equal shingle sets are one node, so copies never meet each other. Null and blank texts have no shingles and
     stand alone. An empty table gives no rows; other columns are ignored.
     """
-    return _classes(numbered_rows(docs, "doc_id", "text"), threshold, size, bands, rows, agree, weights)
+    return _classes(numbered_rows(docs, "doc_id", "text"), threshold, size, bands, rows, weights)
 
 
-def _classes(base: DataFrame, threshold: float, size: int, bands: int, rows: int, agree: int, weights: str) -> DataFrame:
+def _classes(base: DataFrame, threshold: float, size: int, bands: int, rows: int, weights: str) -> DataFrame:
     """``near_duplicates`` of a stored table (rid, doc_id, text)."""
     counted = weights == "counts"
     signed = store(base.mapInPandas(_signatures(size, bands, rows, counted), _SIGNED), "bands")
@@ -313,9 +310,8 @@ def _classes(base: DataFrame, threshold: float, size: int, bands: int, rows: int
     x = small.filter(F.col("away") > reach).select("key", F.col("node").alias("a"), F.col("away").alias("away_a"), F.col("component").alias("ca"), F.col("bands").alias("bands_a"))
     y = small.filter(F.col("away") > 0).select("key", F.col("node").alias("b"), F.col("away").alias("away_b"), F.col("component").alias("cb"), F.col("bands").alias("bands_b"))
     close = (F.col("ca") != F.col("cb")) & (F.abs(F.col("away_a") - F.col("away_b")) <= reach) & ((F.col("away_b") <= reach) | (F.col("a") < F.col("b")))
-    shared = F.array_intersect("bands_a", "bands_b")
-    likely = (F.size(shared) >= agree) & (F.element_at(shared, 1) == x["key"])
-    rest = x.join(y, (x["key"] == y["key"]) & close & likely).select("a", "b").distinct()
+    first_shared = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == x["key"]
+    rest = x.join(y, (x["key"] == y["key"]) & close & first_shared).select("a", "b").distinct()
     more = _compare(rest, sets).filter(F.col("similarity") >= threshold).select("a", "b")
     more = more.unionByName(_crowded(seen.drop("bands"), crowd.filter(F.col("n") > CROWD), sets, threshold, reach))
     more = store(more, "more-links")
@@ -337,7 +333,7 @@ def _classes(base: DataFrame, threshold: float, size: int, bands: int, rows: int
 def drop_near_copies(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates; all columns stay."""
     rows = Rows(docs)
-    classes = _classes(rows.keyed("doc_id", "text"), threshold, SHINGLE_WORDS, BANDS, ROWS, AGREE, "ones")
+    classes = _classes(rows.keyed("doc_id", "text"), threshold, SHINGLE_WORDS, BANDS, ROWS, "ones")
     return rows.join(classes.filter("kept").select("rid"), "left_semi")
 
 
