@@ -129,8 +129,8 @@ def _pack_task(tokenizer: str, end_id: int, tiers: tuple[int, ...], step_tokens:
             return out
 
         for batch in batches:
-            for key, text in zip(batch["doc_id"], batch["text"]):
-                ids = encode.encode(text) + end
+            for key, ids in zip(batch["doc_id"], encode.encode_all(batch["text"])):
+                ids += end
                 docs[number] = (None if pd.isna(key) else int(key), ids)
                 n, start = len(ids) // 4, 0
                 while n - start > longest:

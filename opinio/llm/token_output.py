@@ -68,8 +68,8 @@ def _encode(tokenizer: str, end_id: int, block_ids: int, plane: str):
             return pd.DataFrame([row], columns=["shard", "block", "first", "n_ids", "id_bytes", "plane", "plane_bytes", "planes", "docs"])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = encode.encode(text) + end
+            for doc_id, ids in zip(batch["doc_id"], encode.encode_all(batch["text"])):
+                ids += end
                 docs.append({"doc_no": doc_no, "doc_id": None if pd.isna(doc_id) else int(doc_id), "begin": total, "n": len(ids) // 4})
                 doc_no, total = doc_no + 1, total + len(ids) // 4
                 waiting += ids

@@ -10,8 +10,14 @@ from __future__ import annotations
 import functools
 import re
 import struct
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHED_PIECES = 800_000
+SLICE_CHARS = 4_000_000  # texts whose pieces are told apart together; a longer text goes by itself, piece by piece
 _MARKS = ".,;:!?"  # after a letter, such a mark starts a piece of its own in either kind of tokenizer
 _PLAIN = re.compile(r"\n?\S+")
 
@@ -102,6 +108,55 @@ class Encoder:
         except _Odd:
             return self._whole(text)
 
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The same for many texts, in order: the pieces of a slice are told apart by Arrow, each distinct one is looked
+        up once, and the ids are gathered by index."""
+        waiting, chars = [], 0
+        for text in texts:
+            if not text or len(text) > SLICE_CHARS or any(h in text for h in self.hints):
+                yield from self._slice(waiting)
+                waiting, chars = [], 0
+                yield self.encode(text)
+                continue
+            if chars + len(text) > SLICE_CHARS:
+                yield from self._slice(waiting)
+                waiting, chars = [], 0
+            waiting.append(text)
+            chars += len(text)
+        yield from self._slice(waiting)
+
+    def _slice(self, texts: list[str]) -> Iterator[bytes]:
+        if not texts:
+            return
+        line = " \n" if self.leading else " "
+        head = "\n" if self.leading else ""
+        cut = pc.split_pattern(pa.array([head + t.replace("\n", line) for t in texts], pa.large_string()), " ")
+        bounds = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        found, odd = [], []
+        for piece in coded.dictionary.to_pylist():
+            try:
+                found.append(self.pieces[piece])
+                odd.append(False)
+            except _Odd:
+                found.append(b"")
+                odd.append(True)
+        at = coded.indices.to_numpy()
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        width = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        first = np.cumsum(width) - width
+        n, start = width[at], first[at]
+        whole = np.add.reduceat(np.array(odd)[at].astype(np.int64), bounds[:-1]) > 0
+        if self.leading:  # the line feed before each text
+            opening = bounds[:-1][~whole]
+            n[opening] -= 1
+            start[opening] += 1
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(start - (ends - n), n) + np.arange(ends[-1])].tobytes()
+        borders = np.concatenate([[0], ends])[bounds] * 4
+        for i, text in enumerate(texts):
+            yield self._whole(text) if whole[i] else ids[borders[i] : borders[i + 1]]
+
 
 @functools.cache
 def encoder(path: str, spaces: str) -> Encoder:

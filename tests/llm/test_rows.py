@@ -13,7 +13,7 @@ import pytest
 from conftest_llm import EDGES, frame, prose
 from tokenizers import Tokenizer
 
-from opinio.llm import embedding_dedup, mixing, packing, pii, quality, sharding, token_output
+from opinio.llm import embedding_dedup, mixing, packing, pii, quality, sharding, token_output, tokens
 from opinio.llm.tokens import Encoder
 from test_dedup import components
 
@@ -136,6 +136,23 @@ def test_pieces_give_the_tokenizers_ids(path, spaces):
     assert pieces.encode(None) == b""
 
 
+@pytest.mark.parametrize("as_text", [True, False])
+@pytest.mark.parametrize("path, spaces", [(BYTE, "leading"), (WORD, "dropped")])
+def test_batches_give_the_tokenizers_ids(monkeypatch, path, spaces, as_text):
+    monkeypatch.setattr(tokens, "SLICE_CHARS", 2_000)
+    plain, pieces = Tokenizer.from_file(path), Encoder(path, spaces, special_as_text=as_text)
+    plain.encode_special_tokens = as_text
+    rng = np.random.default_rng(11)
+    bits = [" ", " ", " ", "\n", "  ", "\t", ",", ".", "<|endoftext|>", "it's", "Word", "é́", "\u095c,", "42", "日本", "a" * 40]
+    texts = [None, *TEXTS, *("".join(rng.choice(bits, rng.integers(1, 40))) for _ in range(3_000)), prose(7, 2_500)]
+    texts += [" ".join(rng.choice(["river", "Stone.", "and", "don't", "\nnew"], 30)) for _ in range(300)]
+    got = list(pieces.encode_all(texts))
+    assert len(got) == len(texts)
+    for t, ids in zip(texts, got):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == plain.encode(t or "", add_special_tokens=False).ids, repr(t)
+    assert list(pieces.encode_all([])) == []
+
+
 def ids_of(path, text, end):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
