@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv, text as tx
+from .quantiles import exact_quantiles
 
 
 def table_profile(df: DataFrame) -> DataFrame:
@@ -30,15 +31,19 @@ def table_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def _frequencies(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Rows per distinct value: order statistics then work on values and counts, never on the rows."""
-    return (
-        df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    )
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def _quantile(p: float) -> Column:
-    return F.percentile("_v", p, F.col("_n"))
+def _with_quartiles(stats: DataFrame, box: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``stats`` next to the quartiles of its group, a null group included; a group without values has null quartiles."""
+    if not by:
+        found = box.select(F.struct(*QUARTILES)).scalar()
+        return stats.select("*", *[found[q].alias(q) for q in QUARTILES])
+    theirs = box.select(*[F.col(k).alias(f"_by{i}") for i, k in enumerate(by)], *QUARTILES)
+    on = F.lit(True)
+    for i, k in enumerate(by):
+        on = on & stats[k].eqNullSafe(theirs[f"_by{i}"])
+    return stats.join(theirs, on, "left").drop(*[f"_by{i}" for i in range(len(by))])
 
 
 def describe_numeric(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -50,15 +55,11 @@ def describe_numeric(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataF
         F.min(value).cast("double").alias("min"),
         F.max(value).cast("double").alias("max"),
     ]
-    quartiles = [
-        F.round(_quantile(p), 6).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
-    ]
-    freq = _frequencies(df, value, by)
+    both = _with_quartiles(df.groupBy(*by).agg(*moments), exact_quantiles(df, value, QUARTILES, by), by)
+    quartiles = [F.round(q, 6).alias(q) for q in QUARTILES]
     if by:
-        stats = df.groupBy(*by).agg(*moments)
-        return stats.join(freq.groupBy(*by).agg(*quartiles), list(by), "left")
-    found = freq.agg(F.struct(*quartiles)).scalar()
-    return df.agg(*moments).select("count", "mean", "std", "min", *[found[n].alias(n) for n in ("q1", "median", "q3")], "max")
+        return both.select(*by, "count", "mean", "std", "min", "max", *quartiles)
+    return both.select("count", "mean", "std", "min", *quartiles, "max")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -143,13 +144,13 @@ def text_length_stats(df: DataFrame, clean_text: Column) -> DataFrame:
 
 def length_histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """Equal-width histogram between minimum and maximum; the last bin is closed, empty bins are kept."""
-    freq = _frequencies(df, value, [])
-    low, high = freq.agg(F.min("_v")).scalar(), freq.agg(F.max("_v")).scalar()
+    rows = df.select(F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    low, high = rows.agg(F.min("_v")).scalar(), rows.agg(F.max("_v")).scalar()
     width = (high - low) / F.lit(float(bins))
     number = F.when(high == low, F.lit(0)).otherwise(
         F.least(F.lit(bins - 1), F.floor((F.col("_v") - low) * F.lit(float(bins)) / (high - low)).cast("int"))
     )
-    counts = freq.groupBy(number.alias("bin")).agg(F.sum("_n").alias("n"))
+    counts = rows.groupBy(number.alias("bin")).agg(F.count("*").alias("n"))
     edges = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return edges.join(counts, "bin", "left").select(
         "bin", F.round(low + F.col("bin") * width, 6).alias("lower_edge"), F.coalesce("n", F.lit(0)).alias("n")
@@ -158,34 +159,22 @@ def length_histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
 
 def length_by_star(df: DataFrame, text: str = "commentaire", star: str = "star") -> DataFrame:
     """Five-number summary of text length per star, missing texts left out."""
-    freq = _frequencies(df.select(star, F.length(text).alias("chars")), "chars", [star])
-    return freq.groupBy(star).agg(
-        F.sum("_n").alias("n"),
-        F.min("_v").alias("min_chars"),
-        *[F.round(_quantile(p), 6).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))],
-        F.max("_v").alias("max_chars"),
-    )
+    rows = df.select(star, F.length(text).alias("_v")).filter(F.col("_v").isNotNull())
+    ends = rows.groupBy(star).agg(F.count("*").alias("n"), F.min("_v").alias("min_chars"), F.max("_v").alias("max_chars"))
+    both = _with_quartiles(ends, exact_quantiles(rows, "_v", QUARTILES, [star]), [star])
+    return both.select(star, "n", "min_chars", *[F.round(q, 6).alias(q) for q in QUARTILES], "max_chars")
 
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, 1.5-IQR whiskers (the outermost values inside the fences) and the number of outliers."""
-    freq = _frequencies(df, value, by)
-    box = freq.groupBy(*by).agg(
-        _quantile(0.25).alias("q1"), _quantile(0.5).alias("median"), _quantile(0.75).alias("q3")
-    )
-    if by:
-        joined = freq.join(box, list(by))
-        keys = list(by)
-    else:
-        found = box.select(F.struct("q1", "median", "q3")).scalar()
-        joined = freq.withColumn("_box", found).select("_v", "_n", "_box.*")
-        keys = []
+    rows = df.select(*by, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    joined = _with_quartiles(rows, exact_quantiles(rows, "_v", QUARTILES, by), by)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("_v") >= F.col("q1") - reach) & (F.col("_v") <= F.col("q3") + reach)
-    return joined.groupBy(*keys, "q1", "median", "q3").agg(
+    return joined.groupBy(*by, *QUARTILES).agg(
         F.min(F.when(inside, F.col("_v"))).cast("double").alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).cast("double").alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("outliers"),
+        F.count_if(~inside).alias("outliers"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text as tx
-from ..operators import profile, relational, timeseries
+from ..operators import profile, quantiles, relational, timeseries
 from ..sources import readers, writers
 from . import views as v
 from .q_clean import SQL_LETTERS, detected, PROFILE
@@ -41,6 +41,26 @@ def _(spark, sf):
     return profile.describe_numeric(rows, "chars", ["star"])
 
 
+@query(
+    "describe_prices",
+    """SELECT o_orderpriority, count(o_totalprice) AS count, round(avg(o_totalprice), 6) AS mean, round(stddev_samp(o_totalprice), 6) AS std,
+      min(o_totalprice)::DOUBLE AS min, max(o_totalprice)::DOUBLE AS max, round(quantile_cont(o_totalprice::DOUBLE, 0.25), 6) AS q1,
+      round(quantile_cont(o_totalprice::DOUBLE, 0.5), 6) AS median, round(quantile_cont(o_totalprice::DOUBLE, 0.75), 6) AS q3
+    FROM orders GROUP BY o_orderpriority""",
+)
+def _(spark, sf):
+    return profile.describe_numeric(v.table(spark, sf, "orders"), "o_totalprice", ["o_orderpriority"])
+
+
+@query(
+    "quantiles_price",
+    """SELECT count(l_extendedprice) AS n, quantile_cont(l_extendedprice::DOUBLE, 0.5) AS p50, quantile_cont(l_extendedprice::DOUBLE, 0.9) AS p90,
+      quantile_cont(l_extendedprice::DOUBLE, 0.999) AS p999 FROM lineitem""",
+)
+def _(spark, sf):
+    return quantiles.exact_quantiles(v.table(spark, sf, "lineitem"), "l_extendedprice", {"p50": 0.5, "p90": 0.9, "p999": 0.999})
+
+
 @query("value_counts", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1")
 def _(spark, sf):
     return profile.value_counts(v.table(spark, sf, "orders"), "o_orderpriority")

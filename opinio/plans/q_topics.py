@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import density, quality, subclusters, topics, vectors
+from ..operators import density, linkage, quality, subclusters, topics, vectors
 from ..operators.rows import explode_rows
 from . import views as v
 from .q_features import VOCAB_SQL, sql_ngrams, word_vecs
@@ -193,6 +193,12 @@ def _(spark, sf):
     return found.select("vec_id", F.when(F.col("renamed"), -1).otherwise(F.col("topics")).alias("kept_topic"), "renamed")
 
 
+@query("topic_merges")
+def _(spark, sf):
+    rows = v.embeddings(spark, sf).select("vec_id", F.col("label").cast("int").alias("topics"), "embedding")
+    return linkage.merge_table(linkage.topic_means(rows)).select("a", "b", F.round("similarity", 9).alias("similarity"), "n")
+
+
 EPS, CORE, SIZE = 1.18, 4, 5
 
 

@@ -55,3 +55,19 @@ def test_equal_similarities_all_merge(spark):
     frame = spark.createDataFrame([(i, 1, [1.0, 0.0]) for i in range(9)], "id long, n long, m array<double>")
     got = linkage.merge_table(frame).collect()
     assert len(got) == 8 and max(r["n"] for r in got) == 9
+
+
+def test_the_registered_query_merges_like_plain_linkage(spark):
+    import pandas as pd
+
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    got = entry.queries()["topic_merges"](spark, folder).orderBy(F.desc("similarity")).collect()
+    rows = pd.read_parquet(f"{folder}/embeddings.parquet").dropna(subset=["label", "embedding"])
+    unit = np.array([np.array(e, dtype=float) / np.linalg.norm(e) for e in rows["embedding"]])
+    names = sorted(rows["label"].unique())
+    means = np.array([unit[(rows["label"] == t).to_numpy()].mean(axis=0) for t in names])
+    want = _plain(means, [int((rows["label"] == t).sum()) for t in names], -2.0)
+    assert [(r["a"], r["b"], r["n"]) for r in got] == [(names[a], names[b], n) for a, b, _, n in want]
+    assert np.allclose([r["similarity"] for r in got], [s for *_, s in want], atol=1e-8)
