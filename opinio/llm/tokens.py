@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import functools
 import re
-import struct
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,26 +20,28 @@ import pyarrow.compute as pc
 CACHED_PIECES = 800_000
 SLICE_CHARS = 4_000_000  # texts whose pieces are told apart together; a longer text goes by itself, piece by piece
 _MARKS = ".,;:!?"  # after a letter, such a mark starts a piece of its own in either kind of tokenizer
-_PLAIN = re.compile(r"\n?\S+")
+_PLAIN = re.compile(r"\n?\S+").fullmatch
 
 
-class _Odd(Exception):
-    """The text has white space that the fast path does not cut."""
+def _packed(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
 
 
 class _Pieces(dict):
     """Bytes of the ids by piece. When full, the entries become the old generation and only what is used again
-    returns, so memory stays bounded; a piece that is gone is encoded anew."""
+    returns, so memory stays bounded; a piece that is gone is encoded anew. None: the piece has white space that the
+    fast path does not cut, so its text goes to the tokenizer whole."""
 
     def __init__(self, encode):
         super().__init__()
-        self.old: dict[str, bytes] = {}
+        self.old: dict[str, bytes | None] = {}
         self.encode = encode
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.encode(piece)
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = self.old[piece] if piece in self.old else self.encode(piece)
         if len(self) >= CACHED_PIECES:
             self.old = dict(self)
             self.clear()
@@ -78,17 +81,16 @@ class Encoder:
         return self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)[-1][1] == (len(plain) - 1, len(plain))
 
     def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _dropped(self, piece: str) -> bytes:
         if self._ends_apart(piece):
             return self.pieces[piece[:-1]] + self.marks[piece[-1]]
         return self._whole(piece)
 
-    def _spaced(self, piece: str) -> bytes:
-        if not _PLAIN.fullmatch(piece):
-            raise _Odd
+    def _spaced(self, piece: str) -> bytes | None:
+        if not _PLAIN(piece):
+            return None
         if self._ends_apart(piece):
             return self.pieces[piece[:-1]] + self.marks[piece[-1]]
         return self._whole(piece if piece[0] == "\n" else " " + piece)
@@ -103,10 +105,8 @@ class Encoder:
             return b"".join(map(look, text.replace("\n", " ").split(" ")))
         cut = text.replace("\n", " \n").split(" ")
         cut[0] = "\n" + cut[0]  # a text starts like a line; the line feed, one id of its own, is left out
-        try:
-            return b"".join(map(look, cut))[4:]
-        except _Odd:
-            return self._whole(text)
+        found = list(map(look, cut))
+        return self._whole(text) if None in found else b"".join(found)[4:]
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The same for many texts, in order: the pieces of a slice are told apart by Arrow, each distinct one is looked
@@ -133,20 +133,16 @@ class Encoder:
         cut = pc.split_pattern(pa.array([head + t.replace("\n", line) for t in texts], pa.large_string()), " ")
         bounds = cut.offsets.to_numpy()
         coded = cut.flatten().dictionary_encode()
-        found, odd = [], []
-        for piece in coded.dictionary.to_pylist():
-            try:
-                found.append(self.pieces[piece])
-                odd.append(False)
-            except _Odd:
-                found.append(b"")
-                odd.append(True)
+        found = list(map(self.pieces.__getitem__, coded.dictionary.to_pylist()))
+        odd = np.fromiter((f is None for f in found), dtype=np.int64, count=len(found))
+        if odd.any():
+            found = [f or b"" for f in found]
         at = coded.indices.to_numpy()
         flat = np.frombuffer(b"".join(found), dtype="<u4")
         width = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         first = np.cumsum(width) - width
         n, start = width[at], first[at]
-        whole = np.add.reduceat(np.array(odd)[at].astype(np.int64), bounds[:-1]) > 0
+        whole = np.add.reduceat(odd[at], bounds[:-1]) > 0
         if self.leading:  # the line feed before each text
             opening = bounds[:-1][~whole]
             n[opening] -= 1
