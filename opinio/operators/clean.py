@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
+from ..session import broadcast_if_small, store
 from .rows import explode_rows, posexplode_rows
 
 
@@ -92,26 +93,25 @@ def cleaning_trace(
 
 
 def detect_profile(
-    labelled: DataFrame, text: str, lang: str, languages: Sequence[str], size: int = 300
+    labelled: DataFrame, text: str, lang: str, languages: Sequence[str], min_count: int = 2
 ) -> DataFrame:
-    """Language profile learnt from labelled texts: the ``size`` commonest words of each language with an
-    integer log-weight per language. At most ``size * len(languages)`` rows."""
-    counts = (
-        explode_rows(
-            labelled.filter(F.col(lang).isin(list(languages))), tx.analyzer_tokens(text), "term", F.col(lang).alias("lang")
-        )
-        .groupBy("lang", "term")
-        .agg(F.count("*").alias("n"))
-    )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term"))
-    common = counts.withColumn("_rank", rank).filter(F.col("_rank") <= size)
-    per_language = [
-        F.floor(
-            1000 * F.log1p(F.sum(F.when(F.col("lang") == code, F.col("n")).otherwise(0)).cast("double"))
-        ).alias(f"w_{code}")
-        for code in languages
+    """(term, w_<language>...): smoothed log probabilities, in thousandths, of the character trigrams that occur
+    ``min_count`` times or more in the labelled texts; the row of the empty term is for every other trigram.
+
+    Stored, as it is read for its size, its rest row and its look-ups. It grows with the trigrams of the languages'
+    alphabets, not with the texts.
+    """
+    rows = labelled.filter(F.col(lang).isin(list(languages)))
+    per_language = [F.count_if(F.col("_lang") == code).alias(f"n_{code}") for code in languages]
+    counts = explode_rows(rows, tx.char_grams(text), "term", F.col(lang).alias("_lang")).groupBy("term").agg(*per_language)
+    kept = store(counts.filter(sum(F.col(f"n_{code}") for code in languages) >= min_count), "language-counts")
+    rest = labelled.sparkSession.range(1).select(F.lit("").alias("term"), *[F.lit(0).cast("bigint").alias(f"n_{c}") for c in languages])
+    size = kept.agg(F.struct(F.count("*").alias("v"), *[F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(f"t_{c}") for c in languages])).scalar()
+    weights = [
+        F.floor(1000 * F.ln((F.col(f"n_{c}") + 1).cast("double") / (size[f"t_{c}"] + size["v"] + 1).cast("double"))).alias(f"w_{c}")
+        for c in languages
     ]
-    return common.groupBy("term").agg(*per_language)
+    return store(kept.unionByName(rest).select("term", *weights), "language-profile")
 
 
 def detect_language(
@@ -123,23 +123,25 @@ def detect_language(
     target: str = "fr",
     min_chars: int | None = 10,
 ) -> DataFrame:
-    """Adds ``lang_detected`` (best-scoring language, null without evidence or for texts under ``min_chars``)
-    and ``lang_score`` (1.0 when a language was found, else 0.0), one row per id.
+    """Adds ``lang_detected`` (the language under which the text's trigrams are likeliest; null for texts without a
+    letter or under ``min_chars``) and ``lang_score`` (1.0 when a language was found, else 0.0), one row per id.
 
-    The profile has one row per word of a few hundred per language, so it is broadcast; the exploded
-    words collapse to one row of sums per document before the only shuffle.
+    The profile is broadcast if it is small; the exploded trigrams collapse to one row of sums per document before
+    the only shuffle.
     """
-    tokens = tx.analyzer_tokens(text)
+    grams = tx.char_grams(text)
     # A condition inside the generator, not a filter: a filter would be pushed below the cleaning of the
     # text and repeat it.
-    usable = tokens if min_chars is None else F.when(F.length(tx.strip(text)) >= min_chars, tokens)
+    usable = grams if min_chars is None else F.when(F.length(tx.strip(text)) >= min_chars, grams)
+    columns = [f"w_{code}" for code in languages]
+    rest = profile.filter(F.col("term") == "").select(F.struct(*columns)).scalar()
     sums = (
         explode_rows(df, usable, "term", id)
-        .join(F.broadcast(profile), "term")
+        .join(broadcast_if_small(profile, 500_000), "term", "left")
         .groupBy(id)
-        .agg(*[F.sum(f"w_{code}").alias(f"w_{code}") for code in languages])
+        .agg(*[F.sum(F.coalesce(c, rest[c])).alias(c) for c in columns])
     )
-    best = F.greatest(*[F.col(f"w_{code}") for code in languages])
+    best = F.greatest(*[F.col(c) for c in columns])
     choice = F.coalesce(*[F.when(F.col(f"w_{c}") == best, F.lit(c)) for c in sorted(languages)])
     return df.join(sums.select(id, choice.alias("lang_detected")), id, "left").withColumn(
         "lang_score", F.col("lang_detected").isNotNull().cast("double")

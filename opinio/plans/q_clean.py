@@ -188,15 +188,24 @@ def _(spark, sf):
     return clean.cleaning_funnel(rows)
 
 
+def _sql_grams(c):
+    plain = rf"(' ' || trim(regexp_replace(lower({c}), '[^\p{{L}}]+', ' ', 'g')) || ' ')"
+    return " || ".join(f"regexp_extract_all({x}, '.{{3}}')" for x in (plain, f"substr({plain}, 2)", f"substr({plain}, 3)"))
+
+
+def _each(form):
+    return ", ".join(form.replace("@", c) for c in v.LANGUAGES)
+
+
 PROFILE = f"""
-  counted AS (SELECT lang, term, count(*) AS n FROM
-     (SELECT lang, unnest({v.sql_tokens('commentaire')}) AS term FROM reviews) GROUP BY lang, term),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rk FROM counted),
-  prof AS (SELECT term, {", ".join(f"CAST(floor(1000 * ln(1 + CAST(sum(CASE WHEN lang = '{c}' THEN n ELSE 0 END) AS DOUBLE))) AS BIGINT) AS w_{c}" for c in v.LANGUAGES)}
-     FROM ranked WHERE rk <= 300 GROUP BY term),
+  counted AS (SELECT term, {_each("count(*) FILTER (lang = '@') AS n_@")} FROM
+     (SELECT lang, unnest({_sql_grams('commentaire')}) AS term FROM reviews WHERE lang IN ({v.lit(v.LANGUAGES)})) GROUP BY term HAVING count(*) >= 2),
+  total AS (SELECT count(*) AS v, {_each("coalesce(sum(n_@), 0) AS t_@")} FROM counted),
+  prof AS (SELECT term, {_each("CAST(floor(1000 * ln(CAST(n_@ + 1 AS DOUBLE) / CAST(t_@ + v + 1 AS DOUBLE))) AS BIGINT) AS p_@")} FROM counted, total),
+  rest AS (SELECT {_each("CAST(floor(1000 * ln(1::DOUBLE / CAST(t_@ + v + 1 AS DOUBLE))) AS BIGINT) AS r_@")} FROM total),
   cl AS (SELECT comment_id, {v.sql_clean('commentaire')} AS clean_comment FROM reviews),
-  tk AS (SELECT comment_id, unnest({v.sql_tokens('clean_comment')}) AS term FROM cl WHERE length(clean_comment) >= 10),
-  sums AS (SELECT comment_id, {", ".join(f"sum(w_{c}) AS w_{c}" for c in v.LANGUAGES)} FROM tk JOIN prof USING (term) GROUP BY comment_id),
+  tk AS (SELECT comment_id, unnest({_sql_grams('clean_comment')}) AS term FROM cl WHERE length(clean_comment) >= 10),
+  sums AS (SELECT comment_id, {_each("sum(coalesce(p_@, r_@)) AS w_@")} FROM tk LEFT JOIN prof USING (term), rest GROUP BY comment_id),
   det AS (SELECT r.comment_id, CASE greatest({", ".join(f"w_{c}" for c in v.LANGUAGES)})
      {" ".join(f"WHEN w_{c} THEN '{c}'" for c in v.LANGUAGES)} END AS lang_detected FROM reviews r LEFT JOIN sums s ON s.comment_id = r.comment_id)"""
 
