@@ -70,4 +70,4 @@ def test_the_registered_query_merges_like_plain_linkage(spark):
     means = np.array([unit[(rows["label"] == t).to_numpy()].mean(axis=0) for t in names])
     want = _plain(means, [int((rows["label"] == t).sum()) for t in names], -2.0)
     assert [(r["a"], r["b"], r["n"]) for r in got] == [(names[a], names[b], n) for a, b, _, n in want]
-    assert np.allclose([r["similarity"] for r in got], [s for *_, s in want], atol=1e-8)
+    assert np.allclose([r["similarity"] for r in got], [m[2] for m in want], atol=1e-8)
