@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opinio.operators import knn, labels, metrics, splits
+from opinio.operators import knn, labels, metrics, relational, splits
 
 
 def _scores(spark, rows):
@@ -126,3 +126,27 @@ def test_exact_match_votes_alone(spark):
     truth = spark.createDataFrame([(10, "a", 0), (11, "a", 1), (12, "a", 1)], "id long, label string, y_true int")
     assert knn._votes(near, truth, True).first()["prediction"] == 0
     assert knn._votes(near, truth, False).first()["prediction"] == 1
+
+
+def test_labels_by_review_hashes_sentences_before_any_sort(spark):
+    rows = [(i, "x" * 50 + str(i), s, int(s == i % 3)) for i in range(20) for s in range(5)]
+    df = spark.createDataFrame(rows, "comment_id int, c string, sent_no int, l int")
+    out = labels.labels_by_review(df, ["c"], ["l"])
+    assert {r["comment_id"]: (r["c"], r["l"]) for r in out.collect()} == {i: ("x" * 50 + str(i), 1) for i in range(20)}
+    steps = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Aggregate" in line]
+    assert "HashAggregate" in steps[-1]
+
+
+def test_labels_by_review_of_repeated_ids(spark):
+    rows = [(1, "late", 4, 0), (1, None, 0, 1), (1, "early", 2, 0), (1, "early", 5, 0), (2, None, 1, 0), (None, "n", 3, 1)]
+    df = spark.createDataFrame(rows, "comment_id int, c string, sent_no int, l int")
+    got = {r["comment_id"]: (r["c"], r["l"]) for r in labels.labels_by_review(df, ["c"], ["l"]).collect()}
+    assert got == {1: ("early", 1), 2: (None, 0), None: ("n", 1)}
+
+
+def test_small_sheet_is_broadcast_instead_of_the_phrases(spark):
+    phrases = spark.range(100).selectExpr("id", "cast(id % 3 as int) as topics", "repeat('x', 20) as commentaire")
+    sheet = spark.createDataFrame([(0, "mixte"), (1, None)], "Topic int, `Catégorie` string")
+    known = relational.filter_known_categories(relational.join_topic_category(phrases, sheet), ["mixte"])
+    assert known.count() == 34
+    assert "BroadcastHashJoin" in (plan := known._jdf.queryExecution().sparkPlan().toString()) and "BuildRight" in plan
