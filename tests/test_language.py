@@ -49,3 +49,27 @@ def test_held_out_documents(spark):
     share = found.agg(F.avg((F.col("lang_detected") == F.col("lang")).cast("double"))).first()[0]
     most = docs.filter(aside).groupBy("lang").count().agg(F.max("count") / F.sum("count")).first()[0]
     assert share >= max(0.97, most)
+
+
+def test_sums_in_tasks_equal_a_row_per_trigram(spark, monkeypatch):
+    monkeypatch.setattr(clean, "SLICE_CHARS", 40)
+    texts = ["the mat is there", "le chat et le chien", "𝔘𝔫𝔦 ß İ 日本 語", "a", "", "x" * 500 + " y", None, "?! 12 34567890", "été"] * 3
+    ids = [None, 2**60 + 1, *range(18)]
+    rows = spark.createDataFrame([(ids[i % 20], t, LANGS[i % 2]) for i, t in enumerate(texts)], "comment_id long, t string, l string")
+    model = clean.detect_profile(rows, "t", "l", LANGS)
+    plain = rows.select("comment_id", F.coalesce(tx.plain_letters("t"), F.lit("")).alias("text"))
+    summed = [
+        sorted(map(str, of(plain, model, ["w_en", "w_fr"], "comment_id").groupBy("comment_id").agg(F.sum("w_en"), F.sum("w_fr")).collect()))
+        for of in (clean._gram_sums, clean._gram_rows)
+    ]
+    assert summed[0] == summed[1] and len(summed[0]) > 10
+    found = [{r["comment_id"]: r["lang_detected"] for r in clean.detect_language(rows, model, LANGS, "t").collect()}]
+    monkeypatch.setattr(clean, "PROFILE_ROWS", 3)
+    found.append({r["comment_id"]: r["lang_detected"] for r in clean.detect_language(rows, model, LANGS, "t").collect()})
+    assert found[0] == found[1]
+
+
+def test_no_row_per_trigram_in_the_plan(spark):
+    rows = spark.createDataFrame([(1, "the cat", "en")], "comment_id int, t string, l string")
+    found = clean.detect_language(rows, clean.detect_profile(rows, "t", "l", LANGS), LANGS, "t")
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
