@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import hashing, text as tx
 from ..functions.fixed_values import CATEGORY_ALIASES, LABEL_PATTERNS, LABELS, TOPIC_GROUPS
+from .rows import explode_rows
 
 
 def regex_label(df: DataFrame, rules: Mapping[str, Iterable[str]] = LABEL_PATTERNS, text: str = "clean_comment") -> DataFrame:
@@ -42,8 +43,14 @@ def long_labels(df: DataFrame, id: str, labels: Sequence[str] = LABELS) -> DataF
     return df.select(id, F.explode(pairs).alias("_p")).select(id, "_p.label", "_p.y_true")
 
 
+def _rows_with(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.filter(condition)``, tested on its finished rows: a plain filter is pushed below the columns it reads, and
+    cleaning and rules run again for it."""
+    return explode_rows(df, F.when(condition, F.array(F.lit(1))), "_with", "*").drop("_with")
+
+
 def keep_any_label(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
-    return df.filter(_nb_labels(labels) > 0)
+    return _rows_with(df, _nb_labels(labels) > 0)
 
 
 def label_totals(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
@@ -75,9 +82,9 @@ def browse_label(df: DataFrame, choice: str, id: str, labels: Sequence[str] = LA
     if choice == "all":
         rows = keep_any_label(df, labels)
     elif choice == "none":
-        rows = df.filter(_nb_labels(labels) == 0)
+        rows = _rows_with(df, _nb_labels(labels) == 0)
     else:
-        rows = df.filter(F.col(f"`{choice}`") == 1)
+        rows = _rows_with(df, F.col(f"`{choice}`") == 1)
     return rows.orderBy(hashing.hash_number(id, F.lit(seed)), id).limit(n)
 
 

@@ -150,3 +150,15 @@ def test_small_sheet_is_broadcast_instead_of_the_phrases(spark):
     known = relational.filter_known_categories(relational.join_topic_category(phrases, sheet), ["mixte"])
     assert known.count() == 34
     assert "BroadcastHashJoin" in (plan := known._jdf.queryExecution().sparkPlan().toString()) and "BuildRight" in plan
+
+
+def test_kept_rows_run_rules_once(spark):
+    df = spark.createDataFrame([(1, "la vie"), (2, "rien"), (3, None), (4, "la nuit")], "comment_id int, clean_comment string")
+    flags = labels.regex_label(df, {"a": ["la"], "b": ["nuit"]})
+    kept = labels.keep_any_label(flags, ["a", "b"])
+    assert kept.columns == flags.columns and sorted(r["comment_id"] for r in kept.collect()) == [1, 4]
+    none = labels.browse_label(flags, "none", "comment_id", ["a", "b"])
+    assert sorted(r["comment_id"] for r in none.collect()) == [2, 3]
+    assert [r["comment_id"] for r in labels.browse_label(flags, "b", "comment_id", ["a", "b"]).collect()] == [4]
+    for rows in (kept, none):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 2
