@@ -59,3 +59,38 @@ def test_embed_texts_covers_every_row_with_unit_vectors(spark):
     assert sorted(r["comment_id"] for r in rows) == list(range(50))
     norms = [float(np.linalg.norm(r["embedding"])) for r in rows]
     assert all(abs(n - 1) < 1e-5 or n == 0 for n in norms) and any(n == 0 for n in norms)
+
+
+def _commonest(lists, low, high, k):
+    grams = Counter(" ".join(t[i : i + n]) for t in lists for n in range(low, high + 1) for i in range(len(t) - n + 1))
+    return sorted(grams.items(), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def test_top_ngrams_are_exact_and_count_few(spark, monkeypatch):
+    import random
+
+    from opinio.session import store
+
+    draw = random.Random(5)
+    lists = [[f"w{int(draw.paretovariate(0.7)) % 300}" for _ in range(draw.randrange(0, 40))] for _ in range(120)] + [["w1"] * 9, [], None]
+    df = store(spark.createDataFrame([(t,) for t in lists], "t array<string>"), "test-tokens")
+    known = [t for t in lists if t]
+    for first in (1, 5, 2000):
+        for listed in (3, 20_000):
+            monkeypatch.setattr(features, "FIRST_WORDS", first)
+            monkeypatch.setattr(features, "LISTED", listed)
+            for low, high, k in ((1, 1, 4), (2, 3, 20), (3, 3, 15), (2, 2, 100_000)):
+                got = [(r["term"], r["n"]) for r in features.top_ngrams(df, "t", low, high, k).collect()]
+                assert sorted(got, key=lambda x: (-x[1], x[0])) == _commonest(known, low, high, k)
+
+
+def test_limited_vocabulary_makes_rows_of_its_terms_only(spark, monkeypatch):
+    rows = [(1, ["a", "b", "a"]), (2, ["a", "c"]), (3, ["d", "b", "a"]), (4, []), (5, None)]
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    params = features.TfidfParams(1, 2, max_features=2)
+    seen = []
+    plain = features.vocabulary
+    monkeypatch.setattr(features, "vocabulary", lambda counts, *a: seen.append({r["term"] for r in counts.collect()}) or plain(counts, *a))
+    vocab, weights = features.tfidf_fit(df, "id", F.col("t"), params)
+    assert {r["term"]: (r["df"], r["cf"]) for r in vocab.collect()} == {"a": (3, 4), "b": (2, 2)}
+    assert {r["id"] for r in weights.collect()} == {1, 2, 3} and seen == [{"a", "b"}]
