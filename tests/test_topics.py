@@ -150,3 +150,61 @@ def test_vectoriser_keeps_every_term_and_forms_ngrams(spark):
     both = topics.tfidf_model(df, "tokens", min_df=2, low=1, high=2)
     assert sorted(topics.vocabulary_of(both)) == ["end", "the", "the end"]
     assert both.transform(df).select("features").first()[0].numNonzeros() == 3
+
+
+def test_coherence_reads_texts_once_and_in_slices(spark, monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    vocab = [f"m{i}" for i in range(12)]
+    docs = [[draw.choice([*vocab, "x", "y", "z", None]) for _ in range(draw.choice([0, 3, 40, 300]))] for _ in range(60)] + [None, []]
+    lists = [(0, r + 1, w) for r, w in enumerate(vocab[:5])] + [(1, r + 1, w) for r, w in enumerate(vocab[3:9])] + [(1, 9, "m3"), (2, 1, "nowhere")]
+    both, total = {}, {}
+    for t in docs:
+        last = max(len(t or []) - 20, 0)
+        views = [set((t or [])[s : s + 20]) for s in range(last + 1)]
+        for k in (0, 1, 2, None):
+            words = {w for x, _, w in lists if k in (x, None)}
+            if words & set(t or []):
+                total[k] = total.get(k, 0) + last + 1
+            for v in views if k is not None else []:
+                for a in words & v:
+                    for b in words & v:
+                        if a <= b:
+                            both[k, a, b] = both.get((k, a, b), 0) + 1
+    frame = spark.createDataFrame([(t,) for t in docs], "t array<string>")
+    for tokens in (1, 50, 1 << 18):
+        monkeypatch.setattr(quality, "SLICE_TOKENS", tokens)
+        got = frame.mapInArrow(quality._count_windows(lists, 20), "topic int, a string, b string, n bigint").collect()
+        seen = {}
+        for r in got:
+            seen[r["topic"], r["a"], r["b"]] = seen.get((r["topic"], r["a"], r["b"]), 0) + r["n"]
+        assert {k: n for k, n in seen.items() if k[1]} == both
+        assert {k[0]: n for k, n in seen.items() if not k[1] and n} == total
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def once(t):
+        read.add(1)
+        return t
+
+    tw = spark.createDataFrame(lists, "topic int, rank int, word string")
+    quality.coherence_cv(tw, frame.withColumn("t", once("t")), F.col("t"), per_topic=True).collect()
+    assert read.value == len(docs)
+
+
+def test_embedding_coherence_looks_up_topic_words_only(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(term):
+        read.add(1)
+        return [float(len(term)), 1.0]
+
+    vecs = spark.createDataFrame([("a" * i,) for i in range(1, 30)], "term string").select("term", vector("term").alias("vector"))
+    tw = spark.createDataFrame([(0, 1, "a"), (0, 2, "aa"), (0, 3, "aaa"), (-1, 1, "aaaa")], "topic int, rank int, word string")
+    units = [np.array([i, 1.0]) / np.hypot(i, 1) for i in (1, 2, 3)]
+    want = np.mean([x @ y for i, x in enumerate(units) for j, y in enumerate(units) if i != j])
+    assert quality.coherence_embedding(tw, vecs).first()["score"] == pytest.approx(want, abs=2e-6)
+    assert read.value == 3
