@@ -138,3 +138,29 @@ def test_dates(spark):
     assert [tuple(p) for p in parts] == [(5, 3, 2021), (None,) * 3, (None,) * 3, (None,) * 3]
     assert _one(spark, dates.season(F.col("c").cast("int")), ["12", "1", "3", "8", "11", None]) == ["Hiver", "Hiver", "Printemps", "Été", "Automne", None]
     assert _one(spark, dates.quarter_label(F.to_date("c")), ["2020-02-01", "2020-12-31", None]) == ["2020Q1", "2020Q4", None]
+
+
+def test_cheaper_patterns_find_the_same(spark):
+    import random
+
+    draw = random.Random(11)
+    bits = ["a", "É", "1", "_", "-", "'", ".", "@", "#", "http", "www", " ", " ", "  ", "\t", "\n", "\xa0", "\u2003", "\x85", "\x1c", "ab", "x2y"]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randrange(0, 25))) for _ in range(3000)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    B, W = tx.BLANK, tx.WORD
+    out = tx.strip(F.lower("t"))
+    for pattern in (rf"(http|www)[^{B}]+", rf"[^{B}]+@[^{B}]+", rf"(@|#)[{W}]+"):
+        out = F.regexp_replace(out, pattern, "")
+    plain = {
+        "clean": (tx.clean_general("t"), tx.strip(F.regexp_replace(out, rf"[{B}]+", " "))),
+        "squeeze": (tx.squeeze("t"), tx.strip(F.regexp_replace("t", rf"[{B}]+", " "))),
+        "letters": (tx.letter_tokens("t"), F.regexp_extract_all(F.lower("t"), F.lit(rf"(?<![{W}])\p{{L}}+(?![{W}])"), 0)),
+        **{f"more{n}": (tx.more_words("t", n), tx.word_count("t") > n) for n in (-1, 0, 1, 3, 30)},
+    }
+    for name, (got, want) in plain.items():
+        assert df.filter(~got.eqNullSafe(want)).collect() == [], name
+    # No second start: a text of one long word is read once, not once from each of its characters.
+    long = spark.range(1).select(F.repeat(F.lit("a"), 300_000).alias("t"))
+    assert long.filter(tx.more_words("t", 3)).count() == 0 and long.filter(tx.more_words("t", 0)).count() == 1
+    # The count of all words is not asked for to know that there are more than three.
+    assert "regexp_extract_all" not in df.filter(tx.more_words("t", 3))._jdf.queryExecution().optimizedPlan().toString()
