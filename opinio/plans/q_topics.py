@@ -194,7 +194,23 @@ def _(spark, sf):
     return found.select("vec_id", F.when(F.col("renamed"), -1).otherwise(F.col("topics")).alias("kept_topic"), "renamed")
 
 
-@query("topic_merges")
+# One row a merge: the clusters left, and the pair that went into one.
+MERGES = """WITH RECURSIVE rows AS (SELECT label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE label <> -1 AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  lengths AS (SELECT label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS l FROM rows),
+  units AS (SELECT label, generate_subscripts(e, 1) AS d, unnest(e) / CASE WHEN l = 0 THEN 1 ELSE l END AS x FROM lengths),
+  cells AS (SELECT CAST(label AS BIGINT) AS id, d, count(*) AS n, sum(x) / count(*) AS m FROM units GROUP BY 1, 2),
+  means AS (SELECT id, max(n) AS n, list(m ORDER BY d) AS m FROM cells GROUP BY id),
+  merges AS (SELECT list({'id': id, 'n': n, 'm': m}) AS left_over, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS similarity, NULL::BIGINT AS n FROM means
+    UNION ALL SELECT list_append(list_filter(left_over, lambda c: c.id <> p.x.id AND c.id <> p.y.id), {'id': p.x.id, 'n': p.x.n + p.y.n,
+        'm': list_transform(list_zip(p.x.m, p.y.m), lambda z: (z[1] * p.x.n + z[2] * p.y.n) / (p.x.n + p.y.n))}),
+      p.x.id, p.y.id, p.s, p.x.n + p.y.n
+    FROM (SELECT left_over, (SELECT {'x': x, 'y': y, 's': round(list_dot_product(x.m, y.m), 12)} FROM (SELECT unnest(left_over) AS x), (SELECT unnest(left_over) AS y)
+      WHERE x.id < y.id ORDER BY round(list_dot_product(x.m, y.m), 12) DESC, x.id, y.id LIMIT 1) AS p FROM merges WHERE len(left_over) > 1))
+  SELECT a, b, round(similarity, 9) AS similarity, n FROM merges WHERE a IS NOT NULL"""
+
+
+@query("topic_merges", MERGES)
 def _(spark, sf):
     rows = v.embeddings(spark, sf).select("vec_id", F.col("label").cast("int").alias("topics"), "embedding")
     return linkage.merge_table(linkage.topic_means(rows)).select("a", "b", F.round("similarity", 9).alias("similarity"), "n")
