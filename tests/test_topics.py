@@ -208,3 +208,17 @@ def test_embedding_coherence_looks_up_topic_words_only(spark):
     want = np.mean([x @ y for i, x in enumerate(units) for j, y in enumerate(units) if i != j])
     assert quality.coherence_embedding(tw, vecs).first()["score"] == pytest.approx(want, abs=2e-6)
     assert read.value == 3
+
+
+def test_ctfidf_looks_at_terms_once(spark):
+    texts = [(0, ["a", "b", "a"]), (1, ["a", "c"]), (1, ["c", "c"]), (2, ["a", "d", None]), (None, ["c", "a"]), (2, None)]
+    df = spark.createDataFrame(texts, "topics int, t array<string>")
+    got = topics.ctfidf(df, "t", low=1, high=1, max_df=0.75)
+    # "a" is in four of four classes and left out; the class without a name counts for f but has no rows of its own.
+    tf, f = {(0, "b"): 1, (1, "c"): 3, (2, "d"): 1}, {"b": 1, "c": 4, "d": 1}
+    sizes = {0: 1, 1: 3, 2: 1, None: 1}
+    mean = sum(sizes.values()) // len(sizes)
+    want = {k: n / sizes[k[0]] * math.log(1 + mean / f[k[1]]) for k, n in tf.items()}
+    assert {(r["topic"], r["term"]): pytest.approx(r["weight"]) for r in got.collect()} == want
+    # Only the sizes are joined to the stored terms: neither totals nor class numbers are looked up again.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
