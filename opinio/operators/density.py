@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vectors as vx
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -35,47 +37,84 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+TILE_ROWS = 2048  # a task compares so many rows of a block with as many of the other at a time
+
+
 def _blocks(points: DataFrame, pivots: list[np.ndarray], eps: float, block_rows: int) -> DataFrame:
-    """Rows placed for the neighbour search: each group (cell, hb, vb) holds part of a cell's points and part
-    of the points that may lie within ``eps`` of them.
+    """Rows placed for the neighbour search, so that two points that may lie within ``eps`` meet in one group.
 
     A cell is the tuple of distances to the pivots in steps of ``eps``: points within ``eps`` differ by at
     most one step on every pivot. A crowded cell is cut into blocks of about ``block_rows`` on both sides, so
-    no group grows with the data.
+    no group grows with the data. Groups (cell, own, hb, vb) hold two blocks of one cell, hb <= vb (``own``; no
+    guests if they are the same), or a block of a cell and one of its visitors, which come from the neighbouring
+    cells on one side only: every pair meets once.
     """
     steps = [
         F.floor(vx.norm(F.zip_with("v", F.array(*[F.lit(float(x)) for x in p]), lambda x, y: x - y)) / (eps * (1 + 1e-9))).cast("int")
         for p in pivots
     ]
     placed = points.select("id", "v", "w", "core", F.array(*steps).alias("cell"))
-    shifts = [list(s) for s in itertools.product((-1, 0, 1), repeat=len(pivots))]
-    reach = F.array(*[F.array(*[F.lit(x) for x in s]) for s in shifts])
-    visitors = placed.withColumn("_shift", F.explode(reach)).withColumn(
-        "cell", F.zip_with("cell", "_shift", lambda c, s: c + s)
-    )
-    homes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nh"))
-    guests = visitors.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nv"))
-    sizes = homes.join(guests, "cell")
-
-    def block(count: Column) -> Column:
-        return F.pmod(F.xxhash64("id"), count).cast("int")
-
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    columns = ["cell", "hb", "vb", "home", "id", "v", "w", "core"]
-    home_rows = placed.join(sizes, "cell").withColumn("hb", block(F.col("nh"))).withColumn("vb", every("nv"))
-    guest_rows = visitors.join(sizes, "cell").withColumn("vb", block(F.col("nv"))).withColumn("hb", every("nh"))
-    return home_rows.withColumn("home", F.lit(True)).select(*columns).unionByName(
-        guest_rows.withColumn("home", F.lit(False)).select(*columns)
-    )
-
-
-def _near(pdf: pd.DataFrame, eps: float) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-    home, guest = pdf[pdf["home"]], pdf[~pdf["home"]]
-    a, b = np.array(home["v"].tolist()), np.array(guest["v"].tolist())
-    if not len(a) or not len(b):
-        return home, guest, np.zeros((len(home), len(guest)), dtype=bool)
-    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return home, guest, squares <= eps * eps + 1e-12
+    shifts = [list(s) for s in itertools.product((-1, 0, 1), repeat=len(pivots)) if s > (0,) * len(pivots)]
+    reach = F.array(*[F.array(*[F.lit(x) for x in s]) for s in shifts]).cast("array<array<int>>")
+
+    def shifted(df: DataFrame) -> DataFrame:
+        return df.withColumn("_shift", F.explode(reach)).withColumn("cell", F.zip_with("cell", "_shift", lambda c, s: c + s))
+
+    def block(count: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+
+    every = lambda low, high: F.explode(F.sequence(low, high - 1))
+    blocks = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
+    # Cells are counted once, and few: the points are not moved to learn how their cell is cut.
+    cells = cut_lineage(placed.groupBy("cell").agg(F.count("*").alias("n")))
+    guests = shifted(cells).groupBy("cell").agg(F.sum("n").alias("g"))
+    sizes = broadcast_if_small(cut_lineage(cells.join(guests, "cell", "left").select("cell", blocks("n").alias("nh"), blocks("g").alias("nv"))))
+    homes, visitors = placed.join(sizes, "cell").withColumn("_b", block("nh")), shifted(placed).join(sizes, "cell")
+    kinds = [
+        (homes, True, True, {"hb": F.col("_b"), "vb": every(F.col("_b"), F.col("nh"))}),
+        (homes.filter("_b > 0"), True, False, {"vb": F.col("_b"), "hb": every(F.lit(0), F.col("_b"))}),
+        (homes.filter("nv > 0"), False, True, {"hb": F.col("_b"), "vb": every(F.lit(0), F.col("nv"))}),
+        (visitors, False, False, {"vb": block("nv"), "hb": every(F.lit(0), F.col("nh"))}),
+    ]
+    columns = ["cell", "own", "hb", "vb", "home", "id", "v", "w", "core"]
+    parts = [df.withColumns({"own": F.lit(own), "home": F.lit(home)} | at).select(*columns) for df, own, home, at in kinds]
+    # Dealt by the whole key: a union of joins by cell counts as dealt by cell, and one task would get all blocks of it.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return functools.reduce(DataFrame.unionByName, parts).repartition(tasks, "cell", "own", "hb", "vb")
+
+
+def _near(rows: pd.DataFrame, alone: bool, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the rows of a group that lie within ``eps``, tile by tile: i at home and j a guest, or i <= j in a
+    block ``alone``. ``rows`` has those at home first."""
+    homes, n = int(rows["home"].sum()), len(rows)
+    if not homes or not (alone or homes < n):
+        return
+    v = np.stack(rows["v"].to_numpy()).astype(np.float64)
+    square = (v * v).sum(1)
+    for i in range(0, homes, TILE_ROWS):
+        a = slice(i, min(i + TILE_ROWS, homes))
+        for j in range(i if alone else homes, n, TILE_ROWS):
+            b = slice(j, min(j + TILE_ROWS, n))
+            squares = v[a] @ v[b].T
+            squares *= -2.0
+            squares += square[a, None]
+            squares += square[None, b]
+            at = np.flatnonzero(squares <= eps * eps + 1e-12)
+            x, y = i + at // (b.stop - j), j + at % (b.stop - j)
+            yield (x[x <= y], y[x <= y]) if alone and i == j else (x, y)
+
+
+def _together(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` (the smallest place of each place's component) after linking the places ``a`` with ``b``."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def density_clusters(
@@ -86,7 +125,7 @@ def density_clusters(
     min_samples: int = 3,
     min_size: int = 10,
     pivots: int = 3,
-    block_rows: int = 2048,
+    block_rows: int = 8192,
 ) -> DataFrame:
     """(id, cluster): cluster = smallest core id of the cluster, -1 for noise and for clusters under ``min_size``.
 
@@ -99,38 +138,40 @@ def density_clusters(
     points = cut_lineage(rows.groupBy("v").agg(F.min("row").alias("id"), F.count("*").alias("w")))
     chosen = [np.array(r["v"]) for r in points.orderBy("id").limit(pivots).select("v").collect()]
 
-    def neighbours(pdf: pd.DataFrame) -> pd.DataFrame:
-        home, guest, near = _near(pdf, eps)
-        counts = near @ guest["w"].to_numpy(dtype=np.int64) if len(guest) else np.zeros(len(home), dtype=np.int64)
-        return pd.DataFrame({"id": home["id"].to_numpy(), "n": counts})
-
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        home, guest, near = _near(pdf, eps)
-        hid, gid = home["id"].to_numpy(), guest["id"].to_numpy()
-        hcore, gcore = home["core"].to_numpy(dtype=bool), guest["core"].to_numpy(dtype=bool)
+    def neighbours(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("home", ascending=False)
+        w = pdf["w"].to_numpy(dtype=np.float64)
+        counts = np.zeros(len(pdf))
+        for i, j in _near(pdf, key[1] and key[2] == key[3], eps):
+            counts += np.bincount(i, w[j], len(pdf))
+            other = i != j
+            counts += np.bincount(j[other], w[i[other]], len(pdf))
+        return pd.DataFrame({"id": pdf["id"].to_numpy(), "n": counts.astype(np.int64)})
+
+    def links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("home", ascending=False)
+        ids, core = pdf["id"].to_numpy(), pdf["core"].to_numpy(dtype=bool)
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), dtype=np.int64)  # in the order of ids
+        place[order] = np.arange(len(ids))
         top = np.iinfo(np.int64).max
-        out = []
-        if near.any():
-            border = near & gcore[None, :] & ~hcore[:, None]
-            first = np.where(border, gid[None, :], top).min(axis=1)
-            out.append(pd.DataFrame({"a": hid[first < top], "b": first[first < top], "joins": True}))
-            solid = near & gcore[None, :] & hcore[:, None]
-            lh, lg = np.where(hcore, hid, top), np.where(gcore, gid, top)
-            while True:
-                nh = np.minimum(lh, np.where(solid, lg[None, :], top).min(axis=1))
-                ng = np.minimum(lg, np.where(solid, nh[:, None], top).min(axis=0))
-                if (nh == lh).all() and (ng == lg).all():
-                    break
-                lh, lg = nh, ng
-            a, b = np.concatenate([hid, gid]), np.concatenate([lh, lg])
-            keep = (b < top) & (a != b)
-            out.append(pd.DataFrame({"a": a[keep], "b": b[keep], "joins": False}).drop_duplicates())
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "joins": []}).astype({"a": "int64", "b": "int64", "joins": bool})
+        root, first = np.arange(len(ids)), np.full(len(ids), top)
+        for i, j in _near(pdf, key[1] and key[2] == key[3], eps):
+            solid = core[i] & core[j]
+            root = _together(root, place[i[solid]], place[j[solid]])
+            for a, b in ((i, j), (j, i)):
+                border = ~core[a] & core[b]
+                np.minimum.at(first, a[border], ids[b[border]])
+        joins, a, b = first < top, ids[order], ids[order][root]
+        return pd.concat([
+            pd.DataFrame({"a": ids[joins], "b": first[joins], "joins": True}),
+            pd.DataFrame({"a": a[a != b], "b": b[a != b], "joins": False}),
+        ])
 
     plain = points.withColumn("core", F.lit(False))
     counts = (
         _blocks(plain, chosen, eps, block_rows)
-        .groupBy("cell", "hb", "vb")
+        .groupBy("cell", "own", "hb", "vb")
         .applyInPandas(neighbours, "id bigint, n bigint")
         .groupBy("id")
         .agg(F.sum("n").alias("n"))
@@ -140,7 +181,7 @@ def density_clusters(
     )
     found = cut_lineage(
         _blocks(flagged, chosen, eps, block_rows)
-        .groupBy("cell", "hb", "vb")
+        .groupBy("cell", "own", "hb", "vb")
         .applyInPandas(links, "a bigint, b bigint, joins boolean")
     )
     cores = flagged.filter("core").select("id")

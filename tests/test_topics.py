@@ -113,6 +113,29 @@ def test_density_like_brute_force_with_a_third_copies(spark, block_rows):
     assert [r["cluster"] for r in got.orderBy("id").collect()] == _naive_density(points, 0.6, 4, 8)
 
 
+def test_density_blocks_let_each_near_pair_meet_once_in_several_tasks(spark):
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(60, 3))
+    frame = spark.createDataFrame([(i, p.tolist(), 1, False) for i, p in enumerate(points)], "id long, v array<double>, w long, core boolean")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = density._blocks(frame, [points[0]], 1.5, 5).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    groups, tasks = {}, {}
+    for r in placed:
+        key = (tuple(r["cell"]), r["own"], r["hb"], r["vb"])
+        groups.setdefault(key, ([], []))[0 if r["home"] else 1].append(r["id"])
+        tasks.setdefault(key[0], set()).add(r["task"])
+    met = []
+    for (_, own, hb, vb), (home, guest) in groups.items():
+        met += [(a, b) for a in home for b in home if a < b] if own and hb == vb else [(min(a, b), max(a, b)) for a in home for b in guest]
+    near = {(a, b) for a in range(60) for b in range(a + 1, 60) if np.linalg.norm(points[a] - points[b]) <= 1.5}
+    assert len(met) == len(set(met)) and near <= set(met)
+    assert max(len(t) for t in tasks.values()) > 1
+
+
 def test_components_of_a_long_chain(spark):
     nodes = spark.range(60).select("id")
     edges = spark.range(58).filter("id <> 30").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
