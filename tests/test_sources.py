@@ -201,3 +201,21 @@ def test_cluster_without_shared_folder_is_refused():
 
     with pytest.raises(ValueError):
         shared_folder(Session())
+
+
+def test_a_task_of_a_fit_has_more_entries_than_its_vector_is_wide(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i, Vectors.sparse(200, {j % 200: 1.0 + i % 3 for j in range(i, i + 4)}), int(i % 5 < 2), int(i % 2)) for i in range(100)]
+    df = spark.createDataFrame(rows, ["comment_id", "features", "a", "b"]).repartition(8)
+    monkeypatch.setattr(classify, "ROWS_PER_TASK", 10)
+    used = []
+    coalesce = type(df).coalesce
+    monkeypatch.setattr(type(df), "coalesce", lambda self, n: used.append(n) or coalesce(self, n))
+    wide = classify.logreg_ovr(df, ["a", "b"], tol=1e-9)
+    assert used == [1, 1] and list(wide) == ["a", "b"]  # 10 tasks would send 10 vectors of 200 for 400 entries
+    monkeypatch.setattr(classify, "WIDTHS_PER_TASK", 0)
+    many = classify.logreg_ovr(df, ["a", "b"], tol=1e-9)
+    assert used[2:] == [10, 10]
+    for label in ("a", "b"):
+        assert abs(wide[label].coefficients.toArray() - many[label].coefficients.toArray()).max() < 1e-4
