@@ -153,25 +153,53 @@ def ctfidf(
     )
 
 
+FIRST_TERMS = 200  # of each topic, by document frequency: among them are its heaviest, as a rule
+
+
 def topic_tfidf_words(
     df: DataFrame, id: str, tokens: str, topic: str = "topics", stops: Sequence[str] = (), low: int = 1, high: int = 3, n: int = 10
 ) -> DataFrame:
-    """(topic, rank, word, score): per topic, TF-IDF among its own texts, weights summed, top ``n``. ``id`` is unique."""
-    texts = cut_lineage(
-        df.filter(F.col(topic) != -1).select(id, F.col(topic).alias("topic"), tx.drop_words(F.col(tokens), stops).alias("_t"))
+    """(topic, rank, word, score): per topic, TF-IDF among its own texts, weights summed, top ``n``. ``id`` is unique.
+
+    N-grams move once, to find how many texts share them; those of one text have one idf per topic, and only add to the
+    length of its vector. A weight is 1 at most, so a sum is at most the number of texts: n-grams of fewer texts than the
+    n-th best sum found among some are not summed. Exact; all are summed where that bound says nothing.
+    """
+    texts = store(
+        df.filter(F.col(topic) != -1).select(id, F.col(topic).alias("topic"), tx.drop_words(F.col(tokens), stops).alias("_t")), "topic-texts"
     )
     documents = broadcast_if_small(cut_lineage(texts.groupBy("topic").agg(F.count("*").cast("double").alias("_n"))))
     grams = explode_rows(texts.repartition(id), tx.ngrams(F.col("_t"), low, high), "term", id, "topic")
     counts = grams.groupBy(id, "topic", "term").agg(F.count("*").alias("tf"))
-    # Most n-grams occur in one text only; their idf is one number per topic, so only the others are looked up.
-    shared = counts.groupBy("topic", "term").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
-    idf = F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.coalesce("df", F.lit(1)))) + 1
-    raw = counts.join(shared, ["topic", "term"], "left").join(documents, "topic").withColumn("_w", F.col("tf") * idf)
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id)))
-    sums = raw.select("topic", "term", (F.col("_w") / length).alias("w")).groupBy("topic", "term").agg(
-        F.round(F.sum("w"), 6).alias("weight")
+    counted = counts.withColumn("df", F.count("*").over(Window.partitionBy("topic", "term")))
+    shared = store(counted.filter(F.col("df") > 1), "shared-terms")
+    idf = lambda f: F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + f)) + 1
+    single, own = idf(F.lit(1)), idf(F.col("df"))
+    squares = F.col("tf") * F.col("tf")
+    alone = counts.groupBy(id, "topic").agg(F.sum(squares).alias("_q")).join(documents, "topic").select(id, (F.col("_q") * single * single).alias("_q"))
+    more = shared.join(documents, "topic").select(id, (squares * (own * own - single * single)).alias("_q")).groupBy(id).agg(F.sum("_q").alias("_q"))
+    lengths = store(alone.unionByName(more).groupBy(F.col(id).alias("_id")).agg(F.sqrt(F.sum("_q")).alias("_l")), "topic-lengths")
+
+    def summed(rows: DataFrame) -> DataFrame:
+        weighed = rows.join(documents, "topic").join(lengths, F.col(id).eqNullSafe(F.col("_id")))
+        sums = weighed.groupBy("topic", "term").agg(F.round(F.sum(F.col("tf") * own / F.col("_l")), 6).alias("weight"))
+        return cut_lineage(topic_top_words(sums, n))
+
+    terms = store(shared.groupBy("topic", "term").agg(F.first("df").alias("weight")), "topic-terms")
+    first = cut_lineage(topic_top_words(terms, FIRST_TERMS).select("topic", "term", "weight"))
+    found = summed(shared.join(broadcast_if_small(first.select("topic", "term")), ["topic", "term"], "left_semi"))
+    # A topic without n found sums: its bound is nothing. Left out are n-grams of ``least`` texts at most.
+    ends = found.groupBy("topic").agg(F.when(F.count("*") == n, F.min("weight")).alias("_bound"))
+    least = first.groupBy("topic").agg(F.when(F.count("*") == FIRST_TERMS, F.min("weight")).otherwise(1).alias("_least"))
+    bounds = cut_lineage(
+        documents.join(ends, "topic", "left").join(least, "topic", "left").select("topic", F.coalesce("_bound", F.lit(0.0)).alias("_bound"), F.coalesce("_least", F.lit(1)).alias("_least"))
     )
-    return topic_top_words(sums, n).select("topic", "rank", F.col("term").alias("word"), F.col("weight").alias("score"))
+    if not bounds.filter(F.col("_bound") <= F.col("_least")).isEmpty():
+        if bounds.filter(F.col("_bound") <= 1).isEmpty():
+            found = summed(shared.join(broadcast_if_small(bounds), "topic").filter(F.col("df") >= F.col("_bound")).select(shared.columns))
+        else:
+            found = summed(counted)
+    return found.select("topic", "rank", F.col("term").alias("word"), F.col("weight").alias("score"))
 
 
 def topic_vectors(df: DataFrame, topic: str = "topics", vector: str = "embedding") -> DataFrame:
